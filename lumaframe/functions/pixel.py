@@ -105,21 +105,36 @@ def quantize(value: Column, low: int, high: int, noise: Column | None = None) ->
     return (clamped + (noise if noise is not None else F.lit(0.0)) + 0.5).cast("int")
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once: a plain expression would repeat it wherever f uses it, and grow with each step."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def multiply64(x: Column, factor: int) -> Column:
     """x * factor modulo 2 ** 64 as a bigint's bits. Under ANSI arithmetic a plain product would raise, so it is built from 16-bit limbs."""
-    low, high = x.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(x, 32)
     c = [(factor >> 16 * i) & 0xFFFF for i in range(4)]
-    t1, t3, u1 = low * c[1], low * c[3], high * c[1]
-    down = low * c[0] + F.shiftleft(t1.bitwiseAND(0xFFFF), 16)
-    up = F.shiftrightunsigned(down, 32) + F.shiftrightunsigned(t1, 16) + (low * c[2]).bitwiseAND(0xFFFFFFFF) + F.shiftleft(t3.bitwiseAND(0xFFFF), 16) + (high * c[0]).bitwiseAND(0xFFFFFFFF) + F.shiftleft(u1.bitwiseAND(0xFFFF), 16)
-    return F.shiftleft(up.bitwiseAND(0xFFFFFFFF), 32).bitwiseOR(down.bitwiseAND(0xFFFFFFFF))
+
+    def limbs(v: Column) -> Column:
+        low, high = v.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(v, 32)
+        t1, t3, u1 = low * c[1], low * c[3], high * c[1]
+        down = low * c[0] + F.shiftleft(t1.bitwiseAND(0xFFFF), 16)
+        up = F.shiftrightunsigned(down, 32) + F.shiftrightunsigned(t1, 16) + (low * c[2]).bitwiseAND(0xFFFFFFFF) + F.shiftleft(t3.bitwiseAND(0xFFFF), 16) + (high * c[0]).bitwiseAND(0xFFFFFFFF) + F.shiftleft(u1.bitwiseAND(0xFFFF), 16)
+        return F.shiftleft(up.bitwiseAND(0xFFFFFFFF), 32).bitwiseOR(down.bitwiseAND(0xFFFFFFFF))
+
+    return let(x, limbs)
+
+
+def _fold(h: Column, bits: int, factor: int | None = None) -> Column:
+    def step(v: Column) -> Column:
+        x = v.bitwiseXOR(F.shiftrightunsigned(v, bits))
+        return x if factor is None else multiply64(x, factor)
+
+    return let(h, step)
 
 
 def counter_hash(frame: Column, plane: Column, sample: Column) -> Column:
     h = multiply64(sample.cast("long"), HASH_SAMPLE).bitwiseXOR(multiply64(frame.cast("long"), HASH_FRAME)).bitwiseXOR(multiply64(plane.cast("long"), HASH_PLANE))
-    h = multiply64(h.bitwiseXOR(F.shiftrightunsigned(h, 30)), HASH_MIX_1)
-    h = multiply64(h.bitwiseXOR(F.shiftrightunsigned(h, 27)), HASH_MIX_2)
-    return h.bitwiseXOR(F.shiftrightunsigned(h, 31))
+    return _fold(_fold(_fold(h, 30, HASH_MIX_1), 27, HASH_MIX_2), 31)
 
 
 def dither(frame: Column, plane: Column, sample: Column, bits: int = 53) -> Column:

@@ -66,9 +66,7 @@ def frame_limit_point(spark, d):
 round(CASE WHEN avg(gap) > 0 THEN 1000000.0 / avg(gap) ELSE 0 END, 6) AS estimated_fps, round((max(us) - min(us)) / 1000000.0, 6) AS duration_s FROM (
 SELECT event_type, epoch_us(ts) AS us, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts) AS gap FROM events) GROUP BY event_type""")
 def inspect_summary(spark, d):
-    w = Window.partitionBy("event_type").orderBy("ts")
     x = table(spark, d, "events").select("event_type", micros(F.col("ts")).alias("us")).withColumn("gap", F.col("us") - F.lag("us").over(Window.partitionBy("event_type").orderBy("us")))
-    del w
     gap = F.avg("gap")
     return x.groupBy("event_type").agg(F.count("*").alias("frames"), (F.min("us") * 1000).alias("first_ns"), (F.max("us") * 1000).alias("last_ns"), r6(gap / 1000).alias("mean_interval_ms"), r6(F.when(gap > 0, 1_000_000 / gap).otherwise(0.0)).alias("estimated_fps"), r6((F.max("us") - F.min("us")) / 1_000_000).alias("duration_s"))
 
@@ -96,11 +94,11 @@ def bench_percentiles(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(r6(F.max("value")).alias("largest"), r6(F.min("value")).alias("least"), r6(F.avg("value")).alias("mean"), r6(timing.percentiles("value", (0.9,))[0]).alias("p90"))
 
 
-@query("""SELECT event_id, user_id, count(*) OVER w AS n, round(avg(value) OVER w, 6) AS mean, max(value) OVER w AS largest FROM events
+@query("""SELECT event_id, user_id, count(*) OVER w AS n, (sum(round(value * 100)::BIGINT) OVER w)::DOUBLE / ((count(*) OVER w) * 100.0::DOUBLE) AS mean, max(value) OVER w AS largest FROM events
 WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def running_mean_max(spark, d):
     w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "events").select("event_id", "user_id", F.count("*").over(w).alias("n"), r6(F.avg("value").over(w)).alias("mean"), F.max("value").over(w).alias("largest"))
+    return table(spark, d, "events").select("event_id", "user_id", F.count("*").over(w).alias("n"), (F.sum(F.round(F.col("value") * 100).cast("long")).over(w).cast("double") / (F.count("*").over(w) * 100.0)).alias("mean"), F.max("value").over(w).alias("largest"))
 
 
 @query("SELECT l_suppkey, list_sort(list(l_quantity))[count(*) // 2 + 1] AS upper_median FROM lineitem GROUP BY l_suppkey")
@@ -215,9 +213,9 @@ def _lut(spark) -> DataFrame:
 
 
 @query(f"""WITH {_LUT_SQL}, x AS (SELECT l_linenumber, l_discount + l_tax + l_quantity / 5.0 AS v FROM lineitem),
-p AS (SELECT *, CASE WHEN v <= 1 THEN (v - {P.LOG_CUT}) * {_LUT_N - 1} / (1 - {P.LOG_CUT}) ELSE (v - 1) * {_LUT_N - 1} / 99.0 END AS at FROM x),
-q AS (SELECT *, least(trunc(at)::BIGINT, {_LUT_N - 2}) AS i FROM p),
-f AS (SELECT l_linenumber, v, CASE WHEN v <= 1 THEN a.low + (at - q.i) * (b.low - a.low) ELSE a.high + (at - q.i) * (b.high - a.high) END AS code FROM q JOIN lut a ON a.i = q.i JOIN lut b ON b.i = q.i + 1)
+p AS (SELECT *, CASE WHEN v <= 1 THEN (v - {P.LOG_CUT}) * {_LUT_N - 1} / (1 - {P.LOG_CUT}) ELSE (v - 1) * {_LUT_N - 1} / 99.0 END AS pos FROM x),
+q AS (SELECT *, least(trunc(pos)::BIGINT, {_LUT_N - 2}) AS i FROM p),
+f AS (SELECT l_linenumber, v, CASE WHEN v <= 1 THEN a.low + (pos - q.i) * (b.low - a.low) ELSE a.high + (pos - q.i) * (b.high - a.high) END AS code FROM q JOIN lut a ON a.i = q.i JOIN lut b ON b.i = q.i + 1)
 SELECT l_linenumber, count(*) AS n, round(max(abs(code - {_LOG_SQL('v')})), 6) AS max_error, round(sum(round(code, 4)), 2) AS total FROM f GROUP BY l_linenumber""")
 def lut_vs_analytic(spark, d):
     v, n = F.col("v"), _LUT_N - 1
@@ -301,6 +299,10 @@ def quantize_clip_stats(spark, d):
     return x.groupBy("frame").agg(F.sum(F.when(F.col("c") < 64, 1).otherwise(0)).alias("low"), F.sum(F.when(F.col("c") > 940, 1).otherwise(0)).alias("high"), F.sum(P.quantize(F.col("c"), 64, 940)).alias("total"))
 
 
+def _numbered(plane: int):
+    return lambda v, i: F.struct(F.lit(plane).alias("plane"), i.alias("sample"), v.alias("code"))
+
+
 _PACK = Config(exposure_offset_stops=0.25, negative_policy="clamp_to_zero")
 _PACK_SQL = f"""{SQL_PLANES},
 lin AS (SELECT frame, py, px, i, {_MATRIX_SQL(0, 2.0**0.25)} AS r, {_MATRIX_SQL(1, 2.0**0.25)} AS g, {_MATRIX_SQL(2, 2.0**0.25)} AS b FROM rgb),
@@ -315,12 +317,12 @@ val AS (SELECT frame, 0 AS plane, i AS sample, round(yy * 876 + 64, 6) AS v, 940
 {_noise_sql('frame', 'plane', 'sample', 'val', 'frame, plane, sample, v, top')}"""
 
 
-@query(f"WITH {_PACK_SQL} SELECT frame, plane, sample, trunc(least(greatest(v, 64), top) + noise + 0.5)::INT AS code FROM noise")
+@query(f"WITH {_PACK_SQL} SELECT frame, plane, sample::INT AS sample, trunc(least(greatest(v, 64), top) + noise + 0.5)::INT AS code FROM noise")
 def pack_yuv_pipeline(spark, d):
     """The flagship: the whole chain from planes to dithered codes."""
     x = picture.pack(planes(spark, d), _PACK, WIDTH, HEIGHT)
-    parts = [x.select("frame", F.lit(k).alias("plane"), F.posexplode(c).alias("sample", "code")) for k, c in enumerate(("y", "cb", "cr"))]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+    numbered = F.concat(*(F.transform(c, _numbered(k)) for k, c in enumerate(("y", "cb", "cr"))))
+    return x.select("frame", F.inline(numbered))
 
 
 @query(f"WITH {_PACK_SQL} SELECT frame, sum(CASE WHEN v < 64 THEN 1 ELSE 0 END)::BIGINT AS clipped_low, sum(CASE WHEN v > top THEN 1 ELSE 0 END)::BIGINT AS clipped_high FROM val GROUP BY frame")
@@ -348,7 +350,7 @@ def error_metrics(spark, d):
 
 
 @query("""SELECT doc_id, (CASE WHEN h >= 9223372036854775808 THEN h::HUGEINT - 18446744073709551616 ELSE h::HUGEINT END)::BIGINT AS fnv FROM (
-SELECT doc_id, list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(range(octet_length(encode(text))), lambda i: ('0x' || hex(substring(encode(text), i + 1, 1)))::INT::UHUGEINT)), lambda h, x: (xor(h, x) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT) AS h FROM documents)""")
+SELECT doc_id, list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::INT::UHUGEINT)), lambda h, x: (xor(h, x) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT) AS h FROM documents)""")
 def fnv1a_hash(spark, d):
     ship_code(spark)
     return table(spark, d, "documents").select("doc_id", T.fnv1a("text").alias("fnv"))

@@ -35,7 +35,7 @@ def _matrix_row(matrix, k: int, stops: float):
 def sharpened(planes: DataFrame, config: Config, width: int, height: int) -> DataFrame:
     if config.capture_sharpening <= 0:
         return planes
-    x = planes.withColumn("_y", luma_plane(F.col("r"), F.col("g"), F.col("b"), width * height))
+    x = planes.withColumn("_y", luma_plane(F.col("r"), F.col("g"), F.col("b")))
     x = x.withColumn("_d", sharpen_delta(F.col("_y"), width, height, config.capture_sharpening, config.capture_sharpening_threshold))
     return x.withColumns({c: F.zip_with(c, "_d", lambda a, d: (a + d).cast("float").cast("double")) for c in "rgb"}).drop("_y", "_d")
 
