@@ -30,7 +30,7 @@ from lumaframe.session import ship_code, stage
 
 GRAM = 64
 #: Bytes that are hashed at once, and bytes of segments in one suffix array.
-BLOCK_BYTES, SHARD_BYTES = 1 << 15, 4 << 20
+BLOCK_BYTES, SHARD_BYTES = 1 << 15, 2 << 20
 #: An anchor with more different segments is dealt out by window offsets too: equal windows have equal offsets to their anchor.
 HOT_SEGMENTS, OFFSETS = 4_000, 16
 _LOW = (1 << 24) - 1
