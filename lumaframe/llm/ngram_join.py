@@ -7,9 +7,10 @@ documents share come last in all of them. Candidates share a prefix token in the
 the overlap; before verification their prefixes must meet in the other orders as well; then the sets are compared exactly.
 
 Links are only needed up to connection, so groups of any size take few comparisons:
-1. in each prefix token's run, sorted by doc_id, every document is compared with the run's first; equal sets link at once;
+1. in each prefix token's run, sorted by doc_id, every document is compared with the run's first if it shares enough such
+   runs with it; equal sets link at once;
 2. the documents of a run that are still in different components are compared with each other, every pair that passes the
-   size and position filters; a pair whose components are one needs no comparison, and no link between others is lost.
+   size and position filters and shares enough prefix tokens; a pair whose components are one needs no comparison, and no link between others is lost.
 
 Null texts and texts without words have an empty set and link with nothing. Repeated rows (equal doc_id) count once by their
 set each and share their doc_id's component. An empty table gives an empty result. Other columns are not read.
@@ -23,6 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ from lumaframe.llm.words import mix, shingles
 from lumaframe.session import ship_code, stage
 
 #: The sketch has so many counters in two rows, whatever the size of the corpus.
-SKETCH = 1 << 16
+SKETCH = 1 << 21
 ORDERS = 3
 #: A token's run is dealt out over 2 ** (level - SALT_LEVEL) parts if the sketch puts it on a higher level.
 SALT_LEVEL = 2
@@ -41,38 +43,46 @@ def _cells(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (tokens & np.uint64(SKETCH - 1)).astype(np.int64), ((tokens >> np.uint64(32)) & np.uint64(SKETCH - 1)).astype(np.int64)
 
 
+def _sent(total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())], names=["sketch"])
+
+
+def _received(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(raw), np.uint32).reshape(2, SKETCH)
+
+
 def token_sketch(docs: DataFrame) -> np.ndarray:
     """Counts of all documents' tokens in a sketch of fixed size; summed in two steps, so few tables reach the driver."""
     ship_code(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, SKETCH), np.int64)
+        total = np.zeros((2, SKETCH), np.uint32)
         for batch in batches:
             sets = [shingles(t) for t in batch.column(0).to_pylist()]
             tokens = np.concatenate(sets) if sets else np.empty(0, np.uint64)
             for row, cells in zip(total, _cells(tokens), strict=True):
-                row += np.bincount(cells, minlength=SKETCH)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sketch"])
+                row += np.bincount(cells, minlength=SKETCH).astype(np.uint32)
+        yield _sent(total)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, SKETCH), np.int64)
+        total = np.zeros((2, SKETCH), np.uint32)
         for batch in batches:
             for raw in batch.column(0):
-                total += np.frombuffer(raw.as_py(), np.int64).reshape(2, SKETCH)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sketch"])
+                total += _received(raw.as_py())
+        yield _sent(total)
 
     parts = docs.select("text").mapInArrow(count, "sketch binary")
     parts = parts.repartition(max(1, int(parts.rdd.getNumPartitions() ** 0.5))).mapInArrow(add, "sketch binary")
-    total = np.zeros((2, SKETCH), np.int64)
+    total = np.zeros((2, SKETCH), np.uint32)
     for row in parts.toLocalIterator():
-        total += np.frombuffer(bytes(row["sketch"]), np.int64).reshape(2, SKETCH)
+        total += _received(bytes(row["sketch"]))
     return total
 
 
 def levels(sketch: np.ndarray) -> np.ndarray:
-    """For each counter 0 while it is within four times the mean, then one more with each doubling, 15 at most."""
-    noise = 4 * sketch.mean(axis=1, keepdims=True) + 4
-    return np.clip(np.ceil(np.log2(np.maximum(sketch / noise, 1))), 0, 15).astype(np.uint8)
+    """For each counter 0 while it is within the noise of counters shared by rare tokens, then one more with each doubling, 15 at most."""
+    mean = sketch.mean(axis=1, keepdims=True)
+    return np.clip(np.ceil(np.log2(np.maximum(sketch / (mean + 2 * np.sqrt(mean) + 1), 1))), 0, 15).astype(np.uint8)
 
 
 def token_levels(tokens: np.ndarray, level: np.ndarray) -> np.ndarray:
@@ -184,9 +194,14 @@ def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     across = runs.where(F.shiftright("place", 32) > 0).select("token", "hub").distinct()
     firsts = across.groupBy("token").agg(F.min("hub").alias("a"))
     across = across.join(firsts, "token").select("a", F.col("hub").alias("b"))
-    pairs = runs.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).unionByName(across).where("a <> b").distinct()
-    fits = F.expr(f"100L * least(n_a, n_b) >= {percent}L * greatest(n_a, n_b)")
-    pairs = stage(pairs.join(side("a"), "a").join(side("b"), "b").where(fits).select("a", "b", F.expr("d1_a = d1_b and d2_a = d2_b").alias("equal")).groupBy("a", "b").agg(F.max("equal").alias("equal")), "pairs")
+    pairs = runs.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("c"))
+    pairs = pairs.unionByName(across.where("a <> b").select("a", "b", F.lit(1 << 31).cast("long").alias("c"))).groupBy("a", "b").agg(F.max("c").alias("c"))
+    # So many prefix tokens two similar sets share at least: what follows the prefix that ends first in the order can't hold more.
+    beyond = f"ceil({percent}L * greatest(n_a, n_b) / 100d) - 1"
+    need = f"ceil({percent}d * (n_a + n_b) / {100 + percent}d - 1e-9)"
+    fits, enough = f"100L * least(n_a, n_b) >= {percent}L * greatest(n_a, n_b)", f"c + {beyond} >= {need}"
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("equal", F.expr("d1_a = d1_b and d2_a = d2_b")).where(f"equal or ({fits} and {enough})")
+    pairs = stage(pairs.groupBy("a", "b").agg(F.max("equal").alias("equal")), "pairs")
     links = stage(pairs.where("equal").select("a", "b").unionByName(_verified(pairs.where("not equal").select("a", "b"), docs, level, percent)), "links")
     parts = connected_components(links)
 
@@ -194,10 +209,10 @@ def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     mixed = known.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
     open_runs = stage(known.join(mixed, "token", "left_semi").join(slim.select("doc_id", "n"), "doc_id"), "open-runs")
     x, y = (open_runs.select("token", *(F.col(k).alias(f"{k}_{s}") for k in ("doc_id", "pos", "c", "n"))) for s in "ab")
-    need = F.expr(f"ceil({percent}d * (n_a + n_b) / {100 + percent}d - 1e-9)")
-    room = F.expr("1 + least(n_a - pos_a, n_b - pos_b) - 1")
-    cross = x.join(y, "token").where("doc_id_a < doc_id_b and c_a <> c_b").where(fits & (room >= need)).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
-    cross = stage(cross.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    room = "least(n_a - pos_a, n_b - pos_b)"
+    cross = x.join(y, "token").where(f"doc_id_a < doc_id_b and c_a <> c_b and {fits}")
+    cross = cross.groupBy(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"), "n_a", "n_b").agg(F.count("*").alias("c"), F.max(F.expr(room)).alias("room"))
+    cross = stage(cross.where(f"{enough} and room >= {need}").select("a", "b").distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     if not cross.isEmpty():
         more = stage(_verified(cross, docs, level, percent), "links")
         if not more.isEmpty():
