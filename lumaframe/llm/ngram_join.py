@@ -103,15 +103,20 @@ def prefix(tokens: np.ndarray, level: np.ndarray, order: int, percent: int) -> n
     return tokens[np.argsort(key)]
 
 
-def similar(a: np.ndarray, b: np.ndarray, level: np.ndarray, percent: int) -> bool:
-    """Whether two sets pass: the other orders' prefixes first, then the exact similarity."""
-    n, m = len(a), len(b)
+def prepared(text: str | None, level: np.ndarray, percent: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A text's set and its prefixes in the orders that candidates were not found by."""
+    tokens = shingles(text)
+    return tokens, [prefix(tokens, level, order, percent) for order in range(1, ORDERS)]
+
+
+def similar(a: tuple[np.ndarray, list[np.ndarray]], b: tuple[np.ndarray, list[np.ndarray]], percent: int) -> bool:
+    """Whether two prepared sets pass: the other orders' prefixes first, then the exact similarity."""
+    n, m = len(a[0]), len(b[0])
     if not n or not m or 100 * min(n, m) < percent * max(n, m):
         return False
-    for order in range(1, ORDERS):
-        if not np.isin(prefix(a, level, order, percent), prefix(b, level, order, percent)).any():
-            return False
-    shared = len(np.intersect1d(a, b, assume_unique=True))
+    if not all(len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a[1], b[1], strict=True)):
+        return False
+    shared = len(np.intersect1d(a[0], b[0], assume_unique=True))
     return 100 * shared >= percent * (n + m - shared)
 
 
@@ -170,9 +175,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, level: np.ndarray, percent: int
     both = pairs.join(left, "b").join(right, "a").select("a", "b", "text_a", "text_b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cached = lru_cache(64)(shingles)
+        cached = lru_cache(256)(lambda t: prepared(t, level, percent))
         for batch in batches:
-            keep = [similar(cached(x), shingles(y), level, percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            keep = [similar(cached(x), cached(y), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(verify, "a long, b long")
