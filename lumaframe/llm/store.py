@@ -31,12 +31,19 @@ from lumaframe.session import new_path, ship_code
 WINDOW, MEAN, LEAST, MOST = 16, 1024, 256, 4096
 
 
+#: A random value for each of the lowest 65,536 ids, made by rule.
+_VALUES = mix(np.arange(1 << 16, dtype=np.uint64), 3)
+_ODD, _TOP = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - MEAN.bit_length() + 1)
+
+
 def cut_points(ids: np.ndarray) -> list[int]:
-    """Chunk ends: where the hash of the last WINDOW ids is a multiple of MEAN, no chunk under LEAST or over MOST ids."""
-    n = len(ids)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(ids.astype(np.uint64), 3), dtype=np.uint64)])
-    rolled = mix(sums[WINDOW:] - sums[:-WINDOW], 5) if n >= WINDOW else np.empty(0, np.uint64)
-    marks = (np.flatnonzero(rolled % np.uint64(MEAN) == 0) + WINDOW).tolist()
+    """Chunk ends: where the hash of the last WINDOW ids has its top bits zero (once in MEAN ids), no chunk under LEAST or over MOST ids."""
+    n, marks = len(ids), []
+    if n > LEAST:
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_VALUES[ids & 0xFFFF], out=sums[1:])
+        rolled = (sums[WINDOW:] - sums[:-WINDOW]) * _ODD
+        marks = (np.flatnonzero(rolled >> _TOP == 0) + WINDOW).tolist()
     ends, last = [], 0
     for mark in [*marks, n]:
         while mark - last > MOST:
