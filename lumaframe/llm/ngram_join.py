@@ -9,8 +9,10 @@ the overlap; before verification their prefixes must meet in the other orders as
 Links are only needed up to connection, so groups of any size take few comparisons:
 1. in each prefix token's run, sorted by doc_id, every document is compared with the run's first if it shares enough such
    runs with it; equal sets link at once;
-2. the documents of a run that are still in different components are compared with each other, every pair that passes the
-   size and position filters and shares enough prefix tokens; a pair whose components are one needs no comparison, and no link between others is lost.
+2. while that leaves much to compare, the documents outside their run's largest component are compared with a few others of
+   its members, drawn anew each turn, so most of a group of near copies becomes one component in linear work;
+3. the documents of a run that are still in different components are compared with each other, every pair that passes the
+   size and position filters (the run's token may be the first that they share) and shares enough prefix tokens; a pair whose components are one needs no comparison, and no link between others is lost.
 
 Null texts and texts without words have an empty set and link with nothing. Repeated rows (equal doc_id) count once by their
 set each and share their doc_id's component. An empty table gives an empty result. Other columns are not read.
@@ -25,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumaframe.llm.components import connected_components
@@ -37,6 +39,9 @@ SKETCH = 1 << 21
 ORDERS = 3
 #: A token's run is dealt out over 2 ** (level - SALT_LEVEL) parts if the sketch puts it on a higher level.
 SALT_LEVEL = 2
+#: Members of a run's largest component that one of the others is compared with in a turn, and the pairs for each row of mixed
+#: runs beyond which there is another turn before all pairs between components are compared.
+HUBS, WORK_A_ROW = 8, 16
 
 
 def _cells(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +126,11 @@ def similar(a: tuple[np.ndarray, list[np.ndarray]], b: tuple[np.ndarray, list[np
 
 
 def _profiles(docs: DataFrame, level: np.ndarray, percent: int) -> DataFrame:
-    """doc_id, n, the set's 128-bit digest, and the first order's prefix as tokens with salt and position."""
+    """doc_id, n, the set's 128-bit digest, and the first order's prefix as tokens with places.
+
+    A place holds the salt, whether the token comes early enough to be the first that the set shares with one at least as
+    large, and the position.
+    """
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,7 +141,9 @@ def _profiles(docs: DataFrame, level: np.ndarray, percent: int) -> DataFrame:
                 digest = xxhash.xxh3_128_intdigest(tokens.tobytes())
                 hot = np.maximum(token_levels(first, level).astype(np.int64) - SALT_LEVEL, 0)
                 salt = np.where(hot > 0, 1 + (xxhash.xxh32_intdigest(str(doc)) & ((1 << hot) - 1)), 0)
-                values = (len(tokens), digest >> 64, digest & 0xFFFFFFFFFFFFFFFF, first.view(np.int64), (salt << 32) | np.arange(len(first)))
+                n, at = len(tokens), np.arange(len(first))
+                early = (n - at) * (100 + percent) >= 2 * percent * n
+                values = (n, digest >> 64, digest & 0xFFFFFFFFFFFFFFFF, first.view(np.int64), (salt << 32) | (early.astype(np.int64) << 31) | at)
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
             types = (pa.int32(), pa.uint64(), pa.uint64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
@@ -183,6 +194,30 @@ def _verified(pairs: DataFrame, docs: DataFrame, level: np.ndarray, percent: int
     return both.mapInArrow(verify, "a long, b long")
 
 
+def _mixed_runs(runs: DataFrame, parts: DataFrame, slim: DataFrame) -> DataFrame:
+    """The rows of the runs with more than one component c and an early row, each with its run's size and largest component (main)."""
+    place = F.expr("int(place & 2147483647L) as pos"), F.expr("(place >> 31) & 1L = 1 as early")
+    known = runs.join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("token", "doc_id", *place, F.coalesce("component", "doc_id").alias("c"))
+    counts = known.groupBy("token", "c").agg(F.count("*").alias("m"), F.bool_or("early").alias("early"))
+    counts = counts.groupBy("token").agg(F.sum("m").alias("size"), F.max(F.struct("m", "c")).alias("most"), F.bool_or("early").alias("any"))
+    mixed = counts.where("any and most.m < size").select("token", "size", F.col("most.c").alias("main"))
+    return stage(known.join(mixed, "token").join(slim.select("doc_id", "n").distinct(), "doc_id"), "mixed-runs")
+
+
+def _hub_pairs(mixed: DataFrame, fits: str, turn: int) -> DataFrame:
+    """Pairs (a, b) of each document outside its runs' largest components with members of these, HUBS at most.
+
+    The members are drawn by hash, so each turn tries others; those that share most runs come first.
+    """
+    rows = mixed.withColumn("inside", F.expr("if(c = main, struct(doc_id, n), null)"))
+    draw = [F.min_by("inside", F.when(F.col("inside").isNotNull(), F.xxhash64("doc_id", F.lit(turn * HUBS + i)))) for i in range(HUBS)]
+    hubs = rows.groupBy("token").agg(F.array_distinct(F.array(*draw)).alias("hubs"))
+    pairs = mixed.where("c <> main").select("token", "doc_id", F.col("n").alias("n_b")).join(hubs, "token").select(F.col("doc_id").alias("b"), "n_b", F.explode("hubs").alias("hub"))
+    pairs = pairs.select(F.col("hub.doc_id").alias("a"), F.col("hub.n").alias("n_a"), "b", "n_b").where(fits).groupBy("a", "b").agg(F.count("*").alias("c"))
+    best = Window.partitionBy("b").orderBy(F.desc("c"), "a")
+    return pairs.withColumn("r", F.row_number().over(best)).where(F.col("r") <= HUBS).select("a", "b")
+
+
 def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id long, text)."""
     ship_code(docs.sparkSession)
@@ -210,14 +245,26 @@ def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     links = stage(pairs.where("equal").select("a", "b").unionByName(_verified(pairs.where("not equal").select("a", "b"), docs, level, percent)), "links")
     parts = connected_components(links)
 
-    known = runs.join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("token", "doc_id", F.expr("int(place & 4294967295L)").alias("pos"), F.coalesce("component", "doc_id").alias("c"))
-    mixed = known.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
-    open_runs = stage(known.join(mixed, "token", "left_semi").join(slim.select("doc_id", "n"), "doc_id"), "open-runs")
-    x, y = (open_runs.select("token", *(F.col(k).alias(f"{k}_{s}") for k in ("doc_id", "pos", "c", "n"))) for s in "ab")
-    room = "least(n_a - pos_a, n_b - pos_b)"
-    cross = x.join(y, "token").where(f"doc_id_a < doc_id_b and c_a <> c_b and {fits}")
-    cross = cross.groupBy(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"), "n_a", "n_b").agg(F.count("*").alias("c"), F.max(F.expr(room)).alias("room"))
-    cross = stage(cross.where(f"{enough} and room >= {need}").select("a", "b").distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    mixed, before, turn = _mixed_runs(runs, parts, slim), None, 0
+    while True:
+        size = mixed.agg(F.count("*").alias("rows"), F.sum(F.expr("if(early and c <> main, size, 0)")).alias("work")).first()
+        if size["rows"] == 0 or size["work"] <= WORK_A_ROW * size["rows"] or (before is not None and size["work"] > 0.9 * before):
+            break
+        more = stage(_verified(_hub_pairs(mixed, fits, turn), docs, level, percent), "links")
+        if more.isEmpty():
+            break
+        parts = connected_components(parts.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more))
+        mixed, before, turn = _mixed_runs(runs, parts, slim), size["work"], turn + 1
+    x, y = (mixed.select("token", "main", "early", *(F.col(k).alias(f"{k}_{s}") for k in ("doc_id", "pos", "c", "n"))) for s in "ab")
+    x, y = x.where("early").drop("early"), y.drop("early", "main")
+    # The first token that two similar sets share leaves enough of both; it is early in the smaller one.
+    first = f"least(n_a - pos_a, n_b - pos_b) >= {need} and c_a <> c_b and {fits} and (n_a < n_b or n_a = n_b and doc_id_a < doc_id_b)"
+    outside = x.where("c_a <> main").join(y, "token").where(first)
+    inside = x.where("c_a = main").join(mixed.where("c <> main").select("token", *(F.col(k).alias(f"{k}_b") for k in ("doc_id", "pos", "c", "n"))), "token").where(first)
+    cross = outside.unionByName(inside).select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    prefixes = lambda s: profiles.select(F.col("doc_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("tokens").alias(f"t_{s}"))
+    cross = cross.join(prefixes("a"), "a").join(prefixes("b"), "b").withColumn("c", F.size(F.array_intersect("t_a", "t_b")))
+    cross = stage(cross.where(enough).select("a", "b").distinct(), "pairs")
     if not cross.isEmpty():
         more = stage(_verified(cross, docs, level, percent), "links")
         if not more.isEmpty():
