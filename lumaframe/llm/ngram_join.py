@@ -34,8 +34,8 @@ from lumaframe.llm.components import connected_components
 from lumaframe.llm.words import mix, shingles
 from lumaframe.session import ship_code, stage
 
-#: The sketch has so many counters in two rows, whatever the size of the corpus.
-SKETCH = 1 << 21
+#: The sketch has so many counters, whatever the size of the corpus; its noise changes the orders, never the result.
+SKETCH = 1 << 24
 ORDERS = 3
 #: A token's run is dealt out over 2 ** (level - SALT_LEVEL) parts if the sketch puts it on a higher level.
 SALT_LEVEL = 2
@@ -44,8 +44,8 @@ SALT_LEVEL = 2
 HUBS, WORK_A_ROW = 8, 16
 
 
-def _cells(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (tokens & np.uint64(SKETCH - 1)).astype(np.int64), ((tokens >> np.uint64(32)) & np.uint64(SKETCH - 1)).astype(np.int64)
+def _cells(tokens: np.ndarray) -> np.ndarray:
+    return (tokens & np.uint64(SKETCH - 1)).astype(np.int64)
 
 
 def _sent(total: np.ndarray) -> pa.RecordBatch:
@@ -53,7 +53,7 @@ def _sent(total: np.ndarray) -> pa.RecordBatch:
 
 
 def _received(raw: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(raw), np.uint32).reshape(2, SKETCH)
+    return np.frombuffer(zstandard.decompress(raw), np.uint32)
 
 
 def token_sketch(docs: DataFrame) -> np.ndarray:
@@ -61,16 +61,14 @@ def token_sketch(docs: DataFrame) -> np.ndarray:
     ship_code(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, SKETCH), np.uint32)
+        total = np.zeros(SKETCH, np.uint32)
         for batch in batches:
-            sets = [shingles(t) for t in batch.column(0).to_pylist()]
-            tokens = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-            for row, cells in zip(total, _cells(tokens), strict=True):
-                row += np.bincount(cells, minlength=SKETCH).astype(np.uint32)
+            for text in batch.column(0).to_pylist():
+                np.add.at(total, _cells(shingles(text)), 1)
         yield _sent(total)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, SKETCH), np.uint32)
+        total = np.zeros(SKETCH, np.uint32)
         for batch in batches:
             for raw in batch.column(0):
                 total += _received(raw.as_py())
@@ -78,7 +76,7 @@ def token_sketch(docs: DataFrame) -> np.ndarray:
 
     parts = docs.select("text").mapInArrow(count, "sketch binary")
     parts = parts.repartition(max(1, int(parts.rdd.getNumPartitions() ** 0.5))).mapInArrow(add, "sketch binary")
-    total = np.zeros((2, SKETCH), np.uint32)
+    total = np.zeros(SKETCH, np.uint32)
     for row in parts.toLocalIterator():
         total += _received(bytes(row["sketch"]))
     return total
@@ -86,13 +84,16 @@ def token_sketch(docs: DataFrame) -> np.ndarray:
 
 def levels(sketch: np.ndarray) -> np.ndarray:
     """For each counter 0 while it is within the noise of counters shared by rare tokens, then one more with each doubling, 15 at most."""
-    mean = sketch.mean(axis=1, keepdims=True)
-    return np.clip(np.ceil(np.log2(np.maximum(sketch / (mean + 2 * np.sqrt(mean) + 1), 1))), 0, 15).astype(np.uint8)
+    mean = float(sketch.mean())
+    steps = (mean + 2 * mean**0.5 + 1) * 2.0 ** np.arange(15)
+    found = np.empty(len(sketch), np.uint8)
+    for a in range(0, len(sketch), 1 << 20):
+        found[a : a + (1 << 20)] = np.searchsorted(steps, sketch[a : a + (1 << 20)], "left")
+    return found
 
 
 def token_levels(tokens: np.ndarray, level: np.ndarray) -> np.ndarray:
-    a, b = _cells(tokens)
-    return np.minimum(level[0][a], level[1][b])
+    return level[_cells(tokens)]
 
 
 def prefix(tokens: np.ndarray, level: np.ndarray, order: int, percent: int) -> np.ndarray:
