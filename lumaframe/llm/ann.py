@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by randomly rotated one-bit codes.
 
-Every vector is taken relative to the mean, rotated by one random orthogonal matrix and kept as one sign bit for each dimension with
-two correction scalars: its length and how well its code represents its direction. From them a query estimates each inner
+Every vector is taken relative to the mean, padded with zeros, rotated by one random orthogonal matrix and kept as one sign bit
+for each dimension with two correction scalars: its length and how well its code represents its direction. From them a query estimates each inner
 product without bias and knows a bound of the error; only vectors whose upper bound reaches the 20th best lower bound (or the
 20th best exact value so far) are reranked with their original values in double precision.
 
@@ -25,6 +25,8 @@ from lumaframe.session import new_path, ship_code, stage
 
 #: Queries in a block, and standard deviations of the error bound.
 BLOCK, EPSILON = 2_048, 3.0
+#: Code bits for each dimension: vectors are padded with zeros before they are rotated, the error falls with the root of the bits.
+BITS = 8
 #: Queries and candidates that are compared at once.
 TILE_QUERIES, TILE_ROWS = 256, 4_096
 
@@ -40,7 +42,8 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def rotation(d: int, seed: int = 11) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, d)))
+    """The first d columns of a random rotation of BITS * d dimensions, which is all that vectors padded with zeros meet."""
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((BITS * d, d)))
     return q * np.sign(np.diag(r))
 
 
@@ -82,6 +85,10 @@ class Best:
         self.least = np.full(queries, -np.inf)
 
     def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        fair = score >= self.least[query]  # what is below k others can't be among the best
+        query, ids, score = query[fair], ids[fair], score[fair]
+        if not len(query):
+            return
         query, ids, score = np.concatenate([self.query, query]), np.concatenate([self.ids, ids]), np.concatenate([self.score, score])
         order = np.lexsort((ids, -score, query))
         query = query[order]
@@ -94,7 +101,7 @@ class Best:
 
 def search_rows(best: Best, ids: np.ndarray, q: np.ndarray, centre: np.ndarray, turn: np.ndarray, vec: np.ndarray, code: np.ndarray, size: np.ndarray, fit: np.ndarray, x: np.ndarray) -> int:
     """Compare queries with a tile of candidates; returns how many pairs were reranked."""
-    d, reranked = q.shape[1], 0
+    d, reranked = len(turn), 0
     signs = (np.unpackbits(code, axis=1, count=d).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(d))
     scale = (size / fit).astype(np.float32)
     loose = (EPSILON * size * np.sqrt(np.maximum(1 - fit * fit, 0)) / fit / np.sqrt(max(d - 1, 1))).astype(np.float32)
@@ -106,15 +113,19 @@ def search_rows(best: Best, ids: np.ndarray, q: np.ndarray, centre: np.ndarray,
         bound = length[:, None] * loose + np.float32(1e-5) * (np.abs(estimate) + 1)
         own = ids[a : a + TILE_QUERIES, None] == vec
         estimate[own] = -np.inf
-        least = best.least[a : a + TILE_QUERIES].astype(np.float32)
+        # The best by estimate go first: their exact values set the bar that the others' upper bounds must reach.
+        here = np.arange(len(part))[:, None]
         if len(vec) > best.k:
-            lower = estimate - bound
-            least = np.maximum(least, np.partition(lower, len(vec) - best.k, axis=1)[:, len(vec) - best.k])
-        row, column = np.nonzero((estimate + bound >= least[:, None]) & ~own)
+            lead = np.argpartition(estimate, len(vec) - best.k, axis=1)[:, len(vec) - best.k :]
+            r, c = np.broadcast_to(here, lead.shape)[~own[here, lead]], lead[~own[here, lead]]
+            best.add(a + r, vec[c], np.einsum("ij,ij->i", part[r], x[c]))
+            reranked += len(r)
+            own[here, lead] = True
+        row, column = np.nonzero((estimate + bound >= best.least[a : a + TILE_QUERIES, None].astype(np.float32)) & ~own)
         reranked += len(row)
         for s in range(0, len(row), 1 << 16):
             r, c = row[s : s + (1 << 16)], column[s : s + (1 << 16)]
-            best.add(a + r, vec[c], (part[r] * x[c]).sum(axis=1))
+            best.add(a + r, vec[c], np.einsum("ij,ij->i", part[r], x[c]))
     return reranked
 
 
