@@ -2,10 +2,12 @@
 
 A line that begins with `>` marks is quoted; the number of marks is its level. Neighbouring lines of one level form a passage.
 Passages are normalised (marks off, A-Z lower-cased, white space runs to one blank) and hashed. A quoted passage is joined to
-the earlier message of its conversation that has it as a passage of its own (level 0), or, if there is none, as one of its
-lines' worth of passages at a lower level; among several the latest wins. A message replies to what its first linked quote of
-the lowest level comes from, else to the message before it. Conversations are written without quotes, every message after
-the one it replies to, siblings by turn.
+the earlier message of its conversation that has it in its own words (level 0), or, if there is none, in a passage of a lower
+level; among several the latest wins. To have it is to have its lines, all and in order, as neighbouring lines of one passage
+(blank lines don't count), or its text, however broken into lines, as a whole passage, a paragraph or a line. If no message has
+a quoted passage as a whole, the first of its paragraphs that one has stands for it. An excerpt that begins or ends within a line
+of the original is not looked for. A message replies to what its first linked quote of the lowest level comes from, else to the
+message before it. Conversations are written without quotes, every message after the one it replies to, siblings by turn.
 
 A null or empty text is a message without content. Lines like "On ... wrote:" that introduce a quote go with it. Repeated rows
 (equal conv_id and turn) count once. A message that quotes itself or a later one isn't linked by that. Null roles are "user".
@@ -31,27 +33,47 @@ def _normal(line: Column) -> Column:
 
 
 def passages(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, at, level, h, text: the passages of every message, in order; blank lines belong to none."""
+    """conv_id, turn, at, level, paragraphs, lines, text: the passages of every message, in order; blank lines belong to none.
+
+    lines is the normalised text, paragraphs the same in pieces between blank lines, with newlines between the lines of one.
+    """
     lines = messages.select("conv_id", "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r?\n")).alias("at", "line"))
     lines = lines.select("conv_id", "turn", "at", "line", _level(F.col("line")).alias("level"), _normal(F.col("line")).alias("normal")).where("normal <> ''")
     order = Window.partitionBy("conv_id", "turn").orderBy("at")
     introduces = (F.col("level") == 0) & F.col("line").rlike(INTRODUCES) & (F.coalesce(F.lead("level").over(order), F.lit(0)) > 0)
     lines = lines.withColumn("intro", introduces).where("not intro")
-    new = (F.col("level") != F.coalesce(F.lag("level").over(order), F.lit(-1))).cast("int")
-    lines = lines.withColumn("nth", F.sum(new).over(order))
-    grouped = lines.groupBy("conv_id", "turn", "nth").agg(F.first("level").alias("level"), F.min("at").alias("at"), F.sort_array(F.collect_list(F.struct("at", "normal", "line"))).alias("x"))
-    return grouped.select("conv_id", "turn", "at", "level", F.xxhash64(F.array_join("x.normal", " ")).alias("h"), F.array_join("x.normal", " ").alias("normal"), F.array_join("x.line", "\n").alias("text"), F.transform("x.normal", lambda s: F.xxhash64(s)).alias("lines"))
+    new = F.col("level") != F.coalesce(F.lag("level").over(order), F.lit(-1))
+    # A normalised line is not empty and has no newline in it, so an empty one can stand for what was left out before it.
+    lines = lines.withColumn("gap", ~new & (F.col("at") > F.lag("at").over(order) + 1)).withColumn("nth", F.sum(new.cast("int")).over(order))
+    grouped = lines.groupBy("conv_id", "turn", "nth").agg(F.first("level").alias("level"), F.min("at").alias("at"), F.sort_array(F.collect_list(F.struct("at", "gap", "normal", "line"))).alias("x"))
+    marked = F.array_join(F.transform("x", lambda e: F.concat(F.when(e["gap"], F.lit("\n")).otherwise(F.lit("")), e["normal"])), "\n")
+    return grouped.select("conv_id", "turn", "at", "level", F.split(marked, "\n\n").alias("paragraphs"), F.col("x.normal").alias("lines"), F.array_join("x.line", "\n").alias("text"))
+
+
+def _key(lines: Column | str) -> Column:
+    """128 bits for a text, wherever its lines end."""
+    text = F.translate(lines, "\n", " ")
+    return F.struct(F.xxhash64(text).alias("h"), F.xxhash64(F.lit("2"), text).alias("h2"))
 
 
 def links(found: DataFrame) -> DataFrame:
-    """conv_id, turn, level, at, source: each quoted passage that an earlier message of the conversation has, and the latest such."""
-    quoted = found.where("level > 0").select("conv_id", "turn", "level", "at", "h", "normal")
-    own = found.select("conv_id", F.col("turn").alias("source"), F.col("level").alias("there"), "h", "normal")
-    one_line = found.where("size(lines) > 1").select("conv_id", F.col("turn").alias("source"), F.col("level").alias("there"), F.explode("lines").alias("h"), F.lit(None).cast("string").alias("normal"))
-    own = own.unionByName(one_line)
-    # A conversation is a bounded unit; passages of one hash within it are joined by both keys.
-    joined = quoted.alias("q").join(own.alias("o"), ["conv_id", "h"]).where("source < turn and there < level and (o.normal is null or o.normal = q.normal)")
-    return joined.groupBy("conv_id", "turn", "level", "at").agg(F.max(F.struct((F.col("there") == 0).alias("first"), "source")).getField("source").alias("source"))
+    """conv_id, turn, level, at, source: each quoted passage that an earlier message of the conversation has, and the latest such.
+
+    A quoted passage is looked for as a whole (piece 0), then by its paragraphs in their order. What it can be found as are the
+    passages, paragraphs, lines and runs of lines of the other messages, the runs of all sizes that quotes of the conversation have.
+    """
+    whole, parts = F.array(F.array_join("lines", "\n")), F.when(F.size("paragraphs") > 1, F.col("paragraphs")).otherwise(F.array().cast("array<string>"))
+    pieces = found.where("level > 0").select("conv_id", "turn", "level", "at", F.posexplode(F.concat(whole, parts)).alias("piece", "text"))
+    quotes = pieces.select("conv_id", "turn", "level", "at", "piece", _key("text").alias("k")).select("conv_id", "turn", "level", "at", "piece", "k.h", "k.h2")
+    sizes = pieces.groupBy("conv_id").agg(F.collect_set(F.size(F.split("text", "\n"))).alias("sizes"))
+    fitting = F.filter(F.array_union("sizes", F.array(F.lit(1))), lambda n: n <= F.size("lines"))
+    runs = F.flatten(F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(1), F.size("lines") - n + 1), lambda i: _key(F.array_join(F.slice("lines", i, n), "\n")))))
+    every = F.array_distinct(F.concat(F.transform(F.concat(whole, parts), _key), runs))
+    own = found.join(sizes, "conv_id").select("conv_id", F.col("turn").alias("source"), F.col("level").alias("there"), F.explode(every).alias("k")).select("conv_id", "source", "there", "k.h", "k.h2")
+    # A conversation is a bounded unit; texts of one hash within it are joined by all keys.
+    joined = quotes.join(own, ["conv_id", "h", "h2"]).where("source < turn and there < level")
+    best = F.max(F.struct((-F.col("piece")).alias("piece"), (F.col("there") == 0).alias("first"), "source"))
+    return joined.groupBy("conv_id", "turn", "level", "at").agg(best.getField("source").alias("source"))
 
 
 def replies(messages: DataFrame) -> DataFrame:

@@ -184,6 +184,32 @@ def test_chat(spark):
     assert [got[1, t].content for t in (2, 3, 4)] == ["to the first", "deep", "last"] and [got[1, t].position for t in range(5)] == [0, 1, 2, 3, 4]
 
 
+def test_chat_links_excerpts(spark):
+    """Quotes made at random from earlier messages (runs of lines, re-broken paragraphs, paragraphs left out) against where they were taken from."""
+    rng = random.Random(9)
+    rows, want = [], {}
+    fixed = ["p1 a\np1 b\n\np2 a\np2 b\np2 c\np2 d\np2 e\n\np3 a", "other", "> p1 a\n> p1 b\none", "> p2 b\n> p2 c\ntwo", "> p2 a p2 b\n> p2 c p2 d p2 e\nthree", "> p1 a\n> p1 b\n>\n> p3 a\nfour", "> p1 b\n\n> p2 a\nfive", "> p2 c\n> p2 b\nsix", ">> p2 d\n>> p2 e\n> four\nseven"]
+    rows += [(0, t, "u", x) for t, x in enumerate(fixed)]
+    want |= {(0, t): s for t, s in enumerate([None, 0, 0, 0, 0, 0, 0, 6, 5])}
+    for conv in range(1, 30):
+        said = []
+        for turn in range(8):
+            own = [[f"c{conv} t{turn} p{p} l{n} {rng.choice('xyz')}" for n in range(rng.randrange(1, 6))] for p in range(rng.randrange(1, 4))]
+            text, source = "\n\n".join("\n".join(p) for p in own), turn - 1 if turn else None
+            if turn and rng.random() < 0.8:
+                source = rng.randrange(turn)
+                flat = [line for p in said[source] for line in p]
+                a = rng.randrange(len(flat))
+                quote = rng.choice([flat[a : rng.randrange(a, len(flat)) + 1], " ".join(rng.choice(said[source])).split(" ")])
+                text = "\n".join("> " + line for line in quote) + "\n" + text
+            said.append(own)
+            rows.append((conv, turn, "u", text))
+            want[conv, turn] = source
+    got = chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.conv_id, r.turn): r.reply_to for r in got} == want and len(got) == len(rows)
+    assert {r.turn: r.n_linked for r in got if r.conv_id == 0} == dict(enumerate([0, 0, 1, 1, 1, 1, 1, 0, 2]))
+
+
 def test_language(spark):
     rows = [(i, t, lang) for i, (t, lang) in enumerate([("the house and the garden of the king", "en"), ("der garten und das haus des königs", "de"), ("la maison et le jardin du roi", "fr")] * 20)] + [(900, None, "en"), (901, "12 !", "en"), (902, "", None)]
     got = {r.doc_id: r for r in langid.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
