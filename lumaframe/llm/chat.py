@@ -9,8 +9,11 @@ a quoted passage as a whole, the first of its paragraphs that one has stands for
 of the original is not looked for. A message replies to what its first linked quote of the lowest level comes from, else to the
 message before it. Conversations are written without quotes, every message after the one it replies to, siblings by turn.
 
-A null or empty text is a message without content. Lines like "On ... wrote:" that introduce a quote go with it. Repeated rows
-(equal conv_id and turn) count once. A message that quotes itself or a later one isn't linked by that. Null roles are "user".
+A null or empty text is a message without content. Lines like "On ... wrote:" that introduce a quote go with it. Rows that are
+equal in conv_id, turn, role and text count once; other messages of one turn are all kept, as siblings in the order of role and
+text. None of them links to another by a quote, and what comes after them without a linked quote replies to the last one. A null
+turn comes before all others. A message with a null conv_id is a conversation of its own. A message that quotes itself or a later
+one isn't linked by that. Null roles are "user".
 """
 
 from __future__ import annotations
@@ -32,22 +35,34 @@ def _normal(line: Column) -> Column:
     return F.trim(F.regexp_replace(low, r"\s+", " "))
 
 
+def numbered(messages: DataFrame) -> DataFrame:
+    """The different messages with c (conversation), n (from 1 in its order: turn, role, text; nulls first) and rank (the lowest n of its turn)."""
+    alone = F.concat(F.lit("n"), F.sha2(F.to_json(F.struct("turn", "role", "text")), 256))
+    keyed = messages.select(F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), alone).alias("c"), "conv_id", "turn", "role", "text")
+    order = Window.partitionBy("c").orderBy("turn", "role", "text")
+    row = F.struct("turn", "role", "text")
+    again = F.coalesce(F.lag(row).over(order) == row, F.lit(False))
+    keyed = keyed.withColumn("again", again).where("not again").withColumn("n", F.row_number().over(order))
+    keyed = keyed.withColumn("rank", F.rank().over(Window.partitionBy("c").orderBy("turn")))
+    return keyed.select("c", "n", "rank", "conv_id", "turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def passages(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, at, level, paragraphs, lines, text: the passages of every message, in order; blank lines belong to none.
+    """c, n, rank, at, level, paragraphs, lines, text: the passages of every message, in order; blank lines belong to none.
 
     lines is the normalised text, paragraphs the same in pieces between blank lines, with newlines between the lines of one.
     """
-    lines = messages.select("conv_id", "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r?\n")).alias("at", "line"))
-    lines = lines.select("conv_id", "turn", "at", "line", _level(F.col("line")).alias("level"), _normal(F.col("line")).alias("normal")).where("normal <> ''")
-    order = Window.partitionBy("conv_id", "turn").orderBy("at")
+    lines = messages.select("c", "n", "rank", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r?\n")).alias("at", "line"))
+    lines = lines.select("c", "n", "rank", "at", "line", _level(F.col("line")).alias("level"), _normal(F.col("line")).alias("normal")).where("normal <> ''")
+    order = Window.partitionBy("c", "n").orderBy("at")
     introduces = (F.col("level") == 0) & F.col("line").rlike(INTRODUCES) & (F.coalesce(F.lead("level").over(order), F.lit(0)) > 0)
     lines = lines.withColumn("intro", introduces).where("not intro")
     new = F.col("level") != F.coalesce(F.lag("level").over(order), F.lit(-1))
     # A normalised line is not empty and has no newline in it, so an empty one can stand for what was left out before it.
     lines = lines.withColumn("gap", ~new & (F.col("at") > F.lag("at").over(order) + 1)).withColumn("nth", F.sum(new.cast("int")).over(order))
-    grouped = lines.groupBy("conv_id", "turn", "nth").agg(F.first("level").alias("level"), F.min("at").alias("at"), F.sort_array(F.collect_list(F.struct("at", "gap", "normal", "line"))).alias("x"))
+    grouped = lines.groupBy("c", "n", "nth").agg(F.first("rank").alias("rank"), F.first("level").alias("level"), F.min("at").alias("at"), F.sort_array(F.collect_list(F.struct("at", "gap", "normal", "line"))).alias("x"))
     marked = F.array_join(F.transform("x", lambda e: F.concat(F.when(e["gap"], F.lit("\n")).otherwise(F.lit("")), e["normal"])), "\n")
-    return grouped.select("conv_id", "turn", "at", "level", F.split(marked, "\n\n").alias("paragraphs"), F.col("x.normal").alias("lines"), F.array_join("x.line", "\n").alias("text"))
+    return grouped.select("c", "n", "rank", "at", "level", F.split(marked, "\n\n").alias("paragraphs"), F.col("x.normal").alias("lines"), F.array_join("x.line", "\n").alias("text"))
 
 
 def _key(lines: Column | str) -> Column:
@@ -57,52 +72,55 @@ def _key(lines: Column | str) -> Column:
 
 
 def links(found: DataFrame) -> DataFrame:
-    """conv_id, turn, level, at, source: each quoted passage that an earlier message of the conversation has, and the latest such.
+    """c, n, level, at, source: each quoted passage that an earlier message of the conversation has, and the latest such.
 
     A quoted passage is looked for as a whole (piece 0), then by its paragraphs in their order. What it can be found as are the
     passages, paragraphs, lines and runs of lines of the other messages, the runs of all sizes that quotes of the conversation have.
     """
     whole, parts = F.array(F.array_join("lines", "\n")), F.when(F.size("paragraphs") > 1, F.col("paragraphs")).otherwise(F.array().cast("array<string>"))
-    pieces = found.where("level > 0").select("conv_id", "turn", "level", "at", F.posexplode(F.concat(whole, parts)).alias("piece", "text"))
-    quotes = pieces.select("conv_id", "turn", "level", "at", "piece", _key("text").alias("k")).select("conv_id", "turn", "level", "at", "piece", "k.h", "k.h2")
-    sizes = pieces.groupBy("conv_id").agg(F.collect_set(F.size(F.split("text", "\n"))).alias("sizes"))
+    pieces = found.where("level > 0").select("c", "n", "rank", "level", "at", F.posexplode(F.concat(whole, parts)).alias("piece", "text"))
+    quotes = pieces.select("c", "n", "rank", "level", "at", "piece", _key("text").alias("k")).select("c", "n", "rank", "level", "at", "piece", "k.h", "k.h2")
+    sizes = pieces.groupBy("c").agg(F.collect_set(F.size(F.split("text", "\n"))).alias("sizes"))
     fitting = F.filter(F.array_union("sizes", F.array(F.lit(1))), lambda n: n <= F.size("lines"))
     runs = F.flatten(F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(1), F.size("lines") - n + 1), lambda i: _key(F.array_join(F.slice("lines", i, n), "\n")))))
     every = F.array_distinct(F.concat(F.transform(F.concat(whole, parts), _key), runs))
-    own = found.join(sizes, "conv_id").select("conv_id", F.col("turn").alias("source"), F.col("level").alias("there"), F.explode(every).alias("k")).select("conv_id", "source", "there", "k.h", "k.h2")
+    own = found.join(sizes, "c").select("c", F.col("n").alias("source"), F.col("level").alias("there"), F.explode(every).alias("k")).select("c", "source", "there", "k.h", "k.h2")
     # A conversation is a bounded unit; texts of one hash within it are joined by all keys.
-    joined = quotes.join(own, ["conv_id", "h", "h2"]).where("source < turn and there < level")
+    joined = quotes.join(own, ["c", "h", "h2"]).where("source < rank and there < level")
     best = F.max(F.struct((-F.col("piece")).alias("piece"), (F.col("there") == 0).alias("first"), "source"))
-    return joined.groupBy("conv_id", "turn", "level", "at").agg(best.getField("source").alias("source"))
+    return joined.groupBy("c", "n", "level", "at").agg(best.getField("source").alias("source"))
 
 
 def replies(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, content (without quotes), n_quotes, n_linked, reply_to."""
-    unique = messages.select("conv_id", "turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("m")).select("conv_id", "turn", "m.role", "m.text")
+    """c, n, conv_id, turn, role, content (without quotes), n_quotes, n_linked, parent: the n that it replies to."""
+    unique = numbered(messages)
     found = passages(unique)
-    linked = links(found).groupBy("conv_id", "turn").agg(F.count("*").alias("n_linked"), F.min(F.struct("level", "at", "source")).getField("source").alias("source"))
-    own = found.groupBy("conv_id", "turn").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("level") == 0, F.struct("at", "text")))), lambda x: x["text"]), "\n").alias("content"), F.sum((F.col("level") > 0).cast("long")).alias("n_quotes"))
-    before = F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
+    linked = links(found).groupBy("c", "n").agg(F.count("*").alias("n_linked"), F.min(F.struct("level", "at", "source")).getField("source").alias("source"))
+    own = found.groupBy("c", "n").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("level") == 0, F.struct("at", "text")))), lambda x: x["text"]), "\n").alias("content"), F.sum((F.col("level") > 0).cast("long")).alias("n_quotes"))
+    before = F.when(F.col("rank") > 1, F.col("rank") - 1)
     return (
-        unique.withColumn("before", before).join(own, ["conv_id", "turn"], "left").join(linked, ["conv_id", "turn"], "left")
-        .select("conv_id", "turn", "role", F.coalesce("content", F.lit("")).alias("content"), F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), F.coalesce("source", "before").alias("reply_to"))
+        unique.join(own, ["c", "n"], "left").join(linked, ["c", "n"], "left")
+        .select("c", "n", "conv_id", "turn", "role", F.coalesce("content", F.lit("")).alias("content"), F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), F.coalesce("source", before).alias("parent"))
     )
 
 
 def conversations(messages: DataFrame) -> DataFrame:
-    """replies() and position: the place (from 0) in the conversation's reply order, every message after what it replies to.
+    """The messages with reply_to (a turn) and position: the place (from 0) in the conversation's reply order, every message after what it replies to.
 
-    A message's path is the turns from the conversation's first message down to it; sorting the paths is the reply order. A
-    conversation's messages come together in one array, from which the paths are built turn by turn.
+    A message's path is the numbers from the conversation's first message down to it; sorting the paths is the reply order. A
+    conversation's messages come together in one array, from which the paths are built message by message.
     """
     flat = replies(messages)
-    key = lambda t: F.lpad((t + F.lit(1 << 62)).cast("string"), 20, "0")
-    tree = flat.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "reply_to"))).alias("m"))
-    paths = F.aggregate(
-        "m",
-        F.expr("cast(map() as map<bigint,string>)"),
-        lambda acc, x: F.map_concat(acc, F.create_map(x["turn"].cast("long"), F.concat(F.coalesce(F.element_at(acc, x["reply_to"].cast("long")), F.lit("")), key(x["turn"])))),
-    )
-    order = Window.partitionBy("conv_id").orderBy("path")
-    placed = tree.select("conv_id", F.explode(paths).alias("turn", "path")).select("conv_id", "turn", (F.row_number().over(order) - 1).alias("position"))
-    return flat.join(placed, ["conv_id", "turn"]).select("conv_id", "turn", "position", "role", "content", "reply_to", "n_quotes", "n_linked")
+    key = lambda n: F.lpad(n.cast("string"), 10, "0")
+    tree = flat.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("n", "parent", "turn"))).alias("m"))
+    turn = flat.schema["turn"].dataType.simpleString()
+
+    def put(acc: Column, x: Column) -> Column:
+        above = F.element_at(acc, x["parent"])
+        return F.map_concat(acc, F.create_map(x["n"], F.struct(F.concat(F.coalesce(above["path"], F.lit("")), key(x["n"])).alias("path"), x["turn"].alias("turn"), above["turn"].alias("reply_to"))))
+
+    paths = F.aggregate("m", F.expr(f"cast(map() as map<int,struct<path:string,turn:{turn},reply_to:{turn}>>)"), put)
+    order = Window.partitionBy("c").orderBy("path")
+    placed = tree.select("c", F.explode(paths).alias("n", "v")).select("c", "n", "v.path", "v.reply_to")
+    placed = placed.select("c", "n", "reply_to", (F.row_number().over(order) - 1).alias("position"))
+    return flat.join(placed, ["c", "n"]).select("conv_id", "turn", "position", "role", "content", "reply_to", "n_quotes", "n_linked")

@@ -210,6 +210,18 @@ def test_chat_links_excerpts(spark):
     assert {r.turn: r.n_linked for r in got if r.conv_id == 0} == dict(enumerate([0, 0, 1, 1, 1, 1, 1, 0, 2]))
 
 
+def test_chat_keeps_every_row(spark):
+    rows = [(1, 0, "u", "first"), (1, 1, "a", "one way"), (1, 1, "b", "other way\nof it"), (1, 1, "b", "other way\nof it"), (1, 2, "u", "> one way\nto a"), (1, 2, "u", "> other way\nto b"), (1, 3, "u", "no quote"),
+            (None, 0, "u", "alone"), (None, 1, "u", "> alone\ntoo"), (None, None, None, None), (None, None, None, None), (None, None, None, ""),
+            (2, None, "u", "no turn"), (2, None, "u", "nor this"), (2, 5, "u", "> nor this\nyes"), (2, 6, "u", "> no turn\nso"), (2, 7, None, None), (2, 7, "user", "")]
+    got = chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    plain = lambda c: sorted((r.position, r.turn, r.content, r.reply_to, r.n_linked) for r in got if r.conv_id == c)
+    assert len(got) == len(set(rows))
+    assert plain(1) == [(0, 0, "first", None, 0), (1, 1, "one way", 0, 0), (2, 2, "to a", 1, 1), (3, 1, "other way\nof it", 0, 0), (4, 2, "to b", 1, 1), (5, 3, "no quote", 2, 0)]
+    assert plain(2) == [(0, None, "no turn", None, 0), (1, 6, "so", None, 1), (2, 7, "", 6, 0), (3, 7, "", 6, 0), (4, None, "nor this", None, 0), (5, 5, "yes", None, 1)]
+    assert {(r.position, r.turn, r.content, r.reply_to, r.n_quotes, r.n_linked) for r in got if r.conv_id is None} == {(0, 0, "alone", None, 0, 0), (0, 1, "too", None, 1, 0), (0, None, "", None, 0, 0)}
+
+
 def test_language(spark):
     rows = [(i, t, lang) for i, (t, lang) in enumerate([("the house and the garden of the king", "en"), ("der garten und das haus des königs", "de"), ("la maison et le jardin du roi", "fr")] * 20)] + [(900, None, "en"), (901, "12 !", "en"), (902, "", None)]
     got = {r.doc_id: r for r in langid.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
