@@ -132,18 +132,25 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 5, batch: int =
 
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, seed: int = 7) -> Network:
-    """Train on labelled (doc_id, text, quality). Of each label, sample_rows rows at most, those with the smallest hash of doc_id."""
-    texts, labels = [], []
+    """Train on labelled (doc_id, text, quality). Of each label, sample_rows rows at most, those with the smallest hash of doc_id.
+
+    A label's rows have half of sample_bytes; a text that doesn't fit in what is left is passed over. If no text of a label fits, the
+    beginning of one stands for it.
+    """
+    texts, labels, most = [], [], sample_bytes // 2
     for label in (0, 1):
-        rows = labelled.where((F.col("quality") == label) & F.col("text").isNotNull()).select("text", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id", "text").limit(sample_rows)
-        size = 0
+        known = labelled.where((F.col("quality") == label) & F.col("text").isNotNull()).select("text", F.xxhash64("doc_id").alias("h"), "doc_id")
+        rows = known.where(F.octet_length("text") <= most).orderBy("h", "doc_id", "text").limit(sample_rows)
+        size, before = 0, len(texts)
         for r in rows.toLocalIterator():
             raw = r["text"].encode("utf-8", "surrogatepass")
-            size += len(raw)
-            if size > sample_bytes // 2:
-                break
-            texts.append(raw)
-            labels.append(label)
+            if size + len(raw) <= most:
+                size += len(raw)
+                texts.append(raw)
+        if len(texts) == before:
+            one = known.select(F.substring("text", 1, most).alias("text"), "h", "doc_id").orderBy("h", "doc_id", "text").limit(1)
+            texts += [r["text"].encode("utf-8", "surrogatepass")[:most] for r in one.collect()]
+        labels += [label] * (len(texts) - before)
     return train(texts, np.array(labels, np.int64), seed=seed)
 
 

@@ -245,6 +245,22 @@ def test_quality(spark):
     assert quality.quality(docs.limit(0), labels).count() == 0
 
 
+def test_quality_sample_passes_over_long_texts(spark, monkeypatch):
+    rows = [(i, f"short {i}", i % 2) for i in range(40)] + [(i, "long " * 1000, 0) for i in range(40, 50)]
+    order = spark.createDataFrame(rows, "doc_id long, text string, quality int").selectExpr("doc_id", "xxhash64(doc_id) h").orderBy("h").collect()
+    first = {r.doc_id for r in order[:3]} | set(range(40, 50))
+    labelled = spark.createDataFrame([(i, "long " * 1000 if i in first else t, 0 if i in first else q) for i, t, q in rows], "doc_id long, text string, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda texts, labels, seed: seen.append(sorted(zip(texts, labels.tolist(), strict=True))))
+    quality.fit(labelled, 30, 8_000)
+    assert seen[0] == sorted((t.encode(), q) for i, t, q in rows if i not in first)
+    quality.fit(labelled.where("text like 'long%' or quality = 1"), 30, 8_000)
+    assert Counter((len(t), q) for t, q in seen[1] if q == 0) == {(4_000, 0): 1} and len(seen[1]) == 1 + sum(q for _, q in seen[0])
+    # Of texts that fit one by one, as many as fit together.
+    quality.fit(labelled.where("quality = 0"), 30, 2 * (5_000 + 20))
+    assert [len(t) for t, _ in seen[2]].count(5_000) == 1 and len(seen[2]) > 2
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
