@@ -3,7 +3,8 @@
 Each document is encoded whole and closed with an end id. A rolling hash over the last ids cuts its id stream into chunks
 wherever the ids themselves say so, so equal passages give equal chunks wherever they stand. A chunk is stored once, under
 the SHA-256 of its ids; a document keeps a recipe, the addresses of its chunks in order, and the Merkle root over them;
-a manifest keeps one Merkle root for each part of the recipes. Reading recomputes every address and every root.
+a manifest keeps one Merkle root for each part of the recipes. Reading recomputes the address of each chunk that it reads, the
+roots of the documents and, before all else, the whole manifest.
 
 Folders under the store's path (Parquet): encoded (as first written), chunks (address, refs, payload), recipes (doc_id, part,
 n_tokens, recipe, root; parts follow ascending doc_id), manifest (part, n_docs, n_tokens, root).
@@ -158,17 +159,28 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
         .parquet(f"{path}/recipes")
     )
 
+    _sealed(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
+
+
+def _sealed(recipes: DataFrame) -> DataFrame:
+    """part, n_docs, n_tokens, root of the parts of recipes, as they are in the manifest."""
+
     def seal(pdf):
         pdf = pdf.sort_values(["doc_id", "root"], na_position="first")
         import pandas as pd
 
         return pd.DataFrame({"part": [pdf["part"].iloc[0]], "n_docs": [len(pdf)], "n_tokens": [int(pdf["n_tokens"].sum())], "root": [merkle([bytes(x) for x in pdf["root"]])]})
 
-    (
-        spark.read.parquet(f"{path}/recipes").select("part", "doc_id", "n_tokens", "root").groupBy("part")
-        .applyInPandas(seal, "part int, n_docs long, n_tokens long, root binary")
-        .write.parquet(f"{path}/manifest")
-    )
+    return recipes.select("part", "doc_id", "n_tokens", "root").groupBy("part").applyInPandas(seal, "part int, n_docs long, n_tokens long, root binary")
+
+
+def check_manifest(spark: SparkSession, path: str) -> None:
+    """Raises if the recipes don't give the manifest: if documents or parts are missing, added or changed in either."""
+    found = _sealed(spark.read.parquet(f"{path}/recipes")).withColumn("w", F.lit(1))
+    kept = spark.read.parquet(f"{path}/manifest").withColumn("w", F.lit(-1))
+    wrong = found.unionByName(kept).groupBy("part", "n_docs", "n_tokens", "root").agg(F.sum("w").alias("w")).where("w <> 0").select(F.min("part")).head()
+    if wrong[0] is not None:
+        raise ValueError(f"part {wrong[0]} of the recipes and the manifest differ")
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -191,9 +203,11 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, n_chunks of each document, put together from the stored chunks by its recipe.
 
-    Raises if a chunk is missing or damaged, or if a recipe's chunks don't give its length or its Merkle root.
+    Raises if a chunk is missing or damaged, if a recipe's chunks don't give its length or its Merkle root, or if the recipes don't
+    give the manifest.
     """
     ship_code(spark)
+    check_manifest(spark, path)
     recipes = spark.read.parquet(f"{path}/recipes")
     key = recipes.schema["doc_id"].dataType.simpleString()
     # One row for each part, and one part holds a bounded range of documents.
@@ -231,18 +245,32 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ids(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
-    """doc_id, ids (array of ints) of the documents in wanted (doc_id), or of all."""
+    """doc_id, ids (array of ints) of the documents in wanted (doc_id), or of all. Raises as read_digests() does."""
     ship_code(spark)
-    recipes = spark.read.parquet(f"{path}/recipes").select("doc_id", "part", "root", "recipe")
+    check_manifest(spark, path)
+    recipes = spark.read.parquet(f"{path}/recipes").select("doc_id", "n_tokens", "root", "recipe")
     recipes = recipes.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi") if wanted is not None else recipes
-    rows = recipes.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", F.posexplode("recipe").alias("pos", "address"))
+    rows = recipes.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", "n_tokens", "root", F.posexplode("recipe").alias("pos", "address"))
     chunks = spark.read.parquet(f"{path}/chunks").select("address", "payload")
     key = recipes.schema["doc_id"].dataType.simpleString()
-    joined = rows.join(chunks, "address").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("pos", "payload"))).alias("c")).select("doc_id", "c.payload")
+    joined = (
+        rows.join(chunks, "address", "left").groupBy("row")
+        .agg(*(F.first(c).alias(c) for c in ("doc_id", "n_tokens", "root")), F.sort_array(F.collect_list(F.struct("pos", "address", "payload"))).alias("c"))
+        .select("doc_id", "n_tokens", "root", "c.address", "c.payload")
+    )
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole = [np.concatenate([unpack_ids(x) for x in parts]).astype(np.int32) for parts in batch.column(1).to_pylist()]
+            whole = []
+            lengths, roots, addresses, payloads = (batch.column(i).to_pylist() for i in range(1, 5))
+            for length, root, address, payload in zip(lengths, roots, addresses, payloads, strict=True):
+                parts = [None if p is None else unpack_ids(p) for p in payload]
+                for a, x in zip(address, parts, strict=True):
+                    if x is None or hashlib.sha256(x.tobytes()).digest() != a:
+                        raise ValueError(f"chunk {a.hex()} is {'missing' if x is None else 'damaged'}")
+                if sum(map(len, parts)) != length or merkle(address) != root:
+                    raise ValueError("a document can't be rebuilt from its recipe")
+                whole.append(np.concatenate(parts).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return joined.mapInArrow(rebuild, f"doc_id {key}, ids array<int>")

@@ -3,12 +3,14 @@
 import hashlib
 import random
 import re
+import shutil
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lumaframe.llm import ann, chat, decontam, langid, ngram_join, packing, quality, secrets, store, suffix
@@ -56,6 +58,30 @@ def test_store(spark, texts, tmp_path):
     assert store.crc_join(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
 
 
+def test_store_finds_damage(spark, texts, tmp_path):
+    at, wanted = f"file://{tmp_path}/store", spark.createDataFrame([(5,)], "doc_id long")
+    store.write_store(table(spark, texts), at, public_tokenizers.path("byte_bpe_50k.json"))
+    assert len(store.read_ids(spark, at, wanted).collect()) == 1
+    recipe = spark.read.parquet(f"{at}/recipes").where("doc_id = 5").head().recipe
+    lost = lambda df: df.where(F.col("address") != F.lit(bytes(recipe[0])))
+    swapped = lambda df: df.withColumn("payload", F.when(F.col("address") == F.lit(bytes(recipe[0])), F.lit(b"\2\7\0")).otherwise(F.col("payload")))
+    damages = [("recipes", lambda df: df.where("doc_id <> 7")), ("recipes", lambda df: df.unionByName(df.where("doc_id = 7"))), ("manifest", lambda df: df.withColumn("root", F.lit(b"x"))),
+               ("manifest", lambda df: df.withColumn("n_docs", F.col("n_docs") + 1)), ("manifest", lambda df: df.withColumn("n_tokens", F.col("n_tokens") - 1)),
+               ("manifest", lambda df: df.where("part < 0")), ("manifest", lambda df: df.unionByName(df)), ("chunks", lost), ("chunks", swapped)]
+    missed = []
+    for i, (folder, damage) in enumerate(damages):
+        copy = shutil.copytree(tmp_path / "store", tmp_path / f"damaged{i}")
+        shutil.rmtree(copy / folder)
+        damage(spark.read.parquet(f"{at}/{folder}")).write.parquet(f"file://{copy}/{folder}")
+        for read in (lambda p: store.read_digests(spark, p), lambda p: store.read_ids(spark, p), lambda p: store.read_ids(spark, p, wanted)):
+            try:
+                read(f"file://{copy}").collect()
+                missed.append(i)
+            except Exception as e:
+                assert re.search("differ|damaged|missing|can't be rebuilt", str(e)), e
+    assert not missed
+
+
 def test_packing(spark, texts):
     path = public_tokenizers.path("word_bpe_49k.json")
     got = packing.best_fit_packing(table(spark, texts), path, 512).collect()
