@@ -1,7 +1,8 @@
 """The corpus pipeline: documents of good quality, without near copies, benchmark passages or secrets, packed for training.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it to the shared folder and reads it again as the
-next one's docs. All but the last return the columns of documents. A doc_id stands for one document.
+next one's docs. All but the last return the columns of documents. Rows are told apart by doc_id and
+text, either of which may be null; rows equal in both count once.
 """
 
 from __future__ import annotations
@@ -21,18 +22,29 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.score_quality(docs, net).where("score >= 0.5").select(*docs.columns)
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs with a key _lf_key of doc_id and text, never null, and whether it is doc_id itself, which then is in no two rows."""
+    unique = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty()
+    key = F.col("doc_id") if unique else F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull())
+    return docs.withColumn("_lf_key", key), unique
+
+
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group linked by 0.75 Jaccard similarity of 5-word shingles, and one row of a doc_id."""
-    groups = ngram_join.jaccard_components(docs)
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return docs.join(stay, "doc_id", "left_semi").withColumn("_lf_row", F.row_number().over(first)).where("_lf_row = 1").select(*docs.columns)
+    """Keeps the document with the smallest doc_id (a null is the largest) of each group linked by 0.75 Jaccard similarity of 5-word shingles."""
+    keyed, unique = _keyed(docs)
+    groups = ngram_join.jaccard_components(keyed.select(F.col("_lf_key").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_lf_key")
+    if unique:
+        return keyed.join(groups.where("_lf_key = component_id").select("_lf_key"), "_lf_key", "left_semi").select(*docs.columns)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_lf_key"))
+    stay = keyed.select("_lf_key", "doc_id").join(groups.select("_lf_key", "component_id").distinct(), "_lf_key").groupBy("component_id").agg(least.alias("x")).select("x._lf_key")
+    return keyed.join(stay, "_lf_key", "left_semi").dropDuplicates(["_lf_key", "doc_id", "text"]).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that contain three quarters of a benchmark item's shingles."""
-    found = decontam.contained_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    keyed, _ = _keyed(docs)
+    found = decontam.contained_items(keyed.select(F.col("_lf_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_lf_key")).distinct()
+    return keyed.join(found, "_lf_key", "left_anti").select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -220,9 +220,11 @@ def _hub_pairs(mixed: DataFrame, fits: str, turn: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs (doc_id long, text)."""
+    """doc_id, n_shingles, component_id of every row of docs (doc_id long, text); 0 and null for a null doc_id, as in SQL."""
     ship_code(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    unnamed = docs.where("doc_id is null").selectExpr("doc_id", "0L as n_shingles", "doc_id as component_id")
+    docs = docs.where("doc_id is not null")
     level = levels(token_sketch(docs))
     profiles = stage(_profiles(docs, level, percent), "profiles")
     rows = profiles.where("n > 0").select("doc_id", F.explode(F.arrays_zip("tokens", "places")).alias("x")).select(F.col("x.tokens").alias("token"), "doc_id", F.col("x.places").alias("place"))
@@ -270,4 +272,5 @@ def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
         more = stage(_verified(cross, docs, level, percent), "links")
         if not more.isEmpty():
             parts = connected_components(parts.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more))
-    return profiles.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    found = profiles.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return found.unionByName(unnamed)

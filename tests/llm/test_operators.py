@@ -292,3 +292,20 @@ def test_pipeline(spark):
 
     packed = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert packed.count() > 0 and len(corpus_pipeline.STAGES) == 5
+
+
+def test_pipeline_tells_rows_apart_by_id_and_text(spark, texts, tmp_path):
+    import corpus_pipeline
+
+    leak = " ".join(f"leak{i}" for i in range(20))
+    rows = [(1, texts[5]), (1, texts[6]), (1, texts[6]), (2, texts[5] + " one more word"), (None, texts[7]), (None, texts[7]), (None, texts[8]), (3, texts[8] + " more"), (None, None), (None, None), (4, leak), (4, texts[9]), (None, leak + " x")]
+    docs = spark.createDataFrame([(i, t, "x", 0, "y") for i, t in rows], DOCS)
+    spark.createDataFrame([(0, leak)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.near_copies_stage(spark, docs, "")
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+    want = [(1, texts[5]), (1, texts[6]), (3, texts[8] + " more"), (4, leak), (4, texts[9]), (None, None), (None, texts[7])]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == sorted(want, key=key)
+    clean = corpus_pipeline.decontamination_stage(spark, docs, f"file://{tmp_path}")
+    assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=key) == sorted((r for r in rows if leak not in (r[1] or "")), key=key)
+    got = ngram_join.jaccard_components(docs).where("doc_id is null").collect()
+    assert [(r.n_shingles, r.component_id) for r in got] == [(0, None)] * 6
