@@ -3,9 +3,12 @@
 The patterns give the spans of kind assign, access and hex. The battery adds spans of kind random: every other run of 20 or
 more characters of an encoding's alphabet that is too random to be a word. Per run, the encoding is inferred (decimal, hex,
 base32, letters and digits in base64), then
-- chi-squared of the alphabet's uniformity: a low value is improbable if letters come as unevenly as in language,
+- chi-squared of the alphabet's uniformity: a low value is improbable if letters come as unevenly as in language (for base32 and
+  base64 only: an alphabet of 16 letters or fewer is expected to look uniform in language too),
 - a runs test on character classes: many changes between classes are improbable in language,
 - serial correlation of neighbouring codes: counters and alphabets in order are too regular and are let go.
+So hex runs outside the fixed pattern have the runs test only, and decimal runs, of one class, have neither: those of 20 to 23
+digits are never found (from 24 on they are of kind hex).
 The first two p-values are combined (Fisher). Over all runs of all texts, false discoveries are controlled by the
 Benjamini-Hochberg rule within each class of lengths, for short runs are many and have little power. Only the counts of
 p-values by length class and bin reach the driver, a fixed number of them at most.
