@@ -309,3 +309,48 @@ def test_pipeline_tells_rows_apart_by_id_and_text(spark, texts, tmp_path):
     assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=key) == sorted((r for r in rows if leak not in (r[1] or "")), key=key)
     got = ngram_join.jaccard_components(docs).where("doc_id is null").collect()
     assert [(r.n_shingles, r.component_id) for r in got] == [(0, None)] * 6
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Each stage's rows and run()'s pieces on a small fixture; the network is trained by the operator, its scores are plain."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    good = [" ".join(word() for _ in range(rng.randrange(40, 80))) for _ in range(60)]
+    good += [good[0] + " zz", good[1], good[2] + " " + good[3], good[4] + " password: hunter222", good[5] + " AKIA" + "Q" * 16 + " gg", "deadbeef" * 4 + " " + good[6][:150]]
+    every = [*good, *(" ".join(word() + "###" for _ in range(60)) for _ in range(60)), None, ""]
+    docs = table(spark, every).drop("score")
+    at = f"file://{tmp_path}"
+    docs.write.parquet(f"{at}/documents.parquet")
+    labels = spark.createDataFrame([(i, int(i < len(good)), 0) for i in range(len(good) + 60)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{at}/labels.parquet")
+    items = [" ".join(good[7].split()[5:25]), "never seen in any of these documents"]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+
+    net = quality.fit(quality.labelled_rows(docs, labels))
+    stay = {i: t for i, t in enumerate(every) if quality.forward(net, [(t or "").encode()])[0][0] >= 0.5}
+    wants = [dict(stay)]
+    sets, root = {i: shingle_set(t) for i, t in stay.items()}, {i: i for i in stay}
+    for a in stay:
+        for b in stay:
+            n = len(sets[a] & sets[b])
+            if a < b and n and 100 * n >= 75 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {i: new if r == old else r for i, r in root.items()}
+    wants.append({i: t for i, t in stay.items() if root[i] == i})
+    leaks = [shingle_set(q) for q in items]
+    wants.append({i: t for i, t in wants[1].items() if not any(100 * len(sets[i] & q) >= 75 * len(q) for q in leaks)})
+    secret = re.compile(r"password: [a-z0-9]{6,}|AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}")
+    wants.append({i: t and secret.sub("[SECRET]", t) for i, t in wants[2].items()})
+    now = docs
+    for (_, function), want in zip(corpus_pipeline.STAGES, wants, strict=False):
+        now = function(spark, now, at)
+        got = [(r.doc_id, r.text) for r in now.collect()]
+        assert len(got) == len(want) and dict(got) == want
+    assert len(wants[0]) < len(every) and len(wants[0]) > len(wants[1]) > len(wants[2]) and wants[2] != wants[3]
+    pieces, plain = Counter(), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for r in corpus_pipeline.run(spark, at).collect():
+        pieces[r.doc_id] += r.length
+    short = {i: pieces[i] - len(plain.encode(t or "", add_special_tokens=False).ids) for i, t in wants[3].items()}
+    assert pieces.keys() == wants[3].keys() and len(set(short.values())) == 1, short
