@@ -6,6 +6,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,10 +33,13 @@ def local_session(app: str = "lumaframe", cores: int = 8) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session, where all is one process, may do without."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir isn't set: executors and driver need a folder that they share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="lumaframe-")
@@ -45,12 +50,34 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/lumaframe/{what}-{uuid.uuid4().hex}"
 
 
+def put(df: DataFrame, path: str, compression: str = "zstd") -> DataFrame:
+    """Write a table to a path and read it again: cuts the lineage and survives lost executors."""
+    df.write.option("compression", compression).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stage(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
+    """put() in the shared folder."""
+    return put(df, new_path(df.sparkSession, what), compression)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store holds it; nothing that still has to be read may be in it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, what: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """stage() for an operator's own tables, in one folder of the shared folder that is deleted at the end.
+
+    What the operator returns has to be staged outside, or must not need the tables any more.
+    """
     path = new_path(spark, what)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    try:
+        yield lambda df, name: put(df, f"{path}/{name}-{uuid.uuid4().hex}")
+    finally:
+        discard(spark, path)
 
 
 def ship_code(spark: SparkSession) -> None:
