@@ -162,6 +162,62 @@ def test_ngram_join(spark, texts):
     assert len(shingles("A b c d e f")) == 2
 
 
+def components(sets):
+    """The smallest index that each set reaches by links."""
+    root = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            n = len(a & sets[j])
+            if n and 100 * n >= 75 * (len(a) + len(sets[j]) - n) and root[i] != root[j]:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    return root
+
+
+def test_ngram_join_hot_groups(spark, monkeypatch):
+    """Near copies, a chain of them, a passage and single words that many share, equal sets, with every limit so small that it acts."""
+    rng = random.Random(11)
+    word = lambda: f"v{rng.randrange(5000)}"
+    passage, base = [word() for _ in range(40)], [word() for _ in range(60)]
+    many = []
+    for i in range(70):
+        near = list(base)
+        for _ in range(rng.randrange(0, 3)):
+            near[rng.randrange(60)] = word()
+        many.append(" ".join(near))
+        many.append(" ".join([word() for _ in range(rng.randrange(5, 30))] + passage))
+        many.append(" ".join(rng.choice([["same", "few", "words"], ["same"], base[:5], base[:6], passage[:12]])))
+    chain = [word() for _ in range(80)]
+    for _ in range(40):
+        chain[rng.randrange(80)] = word()
+        many.append(" ".join(chain))
+    sets = [shingle_set(t) for t in many]
+    want = [(i, len(s), r) for (i, s), r in zip(enumerate(sets), components(sets), strict=True)]
+    for limits in ({"SALT_BITS": 2, "HUBS": 2, "WORK_A_ROW": 0}, {"BLOCK_TOKENS": 500, "PART_BYTES": 4_000}, {"HOT_OWNERS": 3, "BLOCK_ROWS": 40, "PART_BYTES": 10_000, "SALT_BITS": 3}):
+        with monkeypatch.context() as m:
+            for name, value in limits.items():
+                m.setattr(ngram_join, name, value)
+            got = sorted(map(tuple, ngram_join.jaccard_components(table(spark, many).repartition(3)).collect()))
+        assert got == want, limits
+
+
+def test_ngram_join_repeated_ids(spark):
+    """Texts of one doc_id are one node: their links meet in it."""
+    a, b, c = ([f"{x}{i}" for i in range(30)] for x in "abc")
+    rows = [(5, a), (5, b), (2, [*a, "x"]), (9, [*b, "y"]), (7, c), (7, c), (8, [*c[:-1], "z"]), (1, [])]
+    docs = spark.createDataFrame([(i, " ".join(t), "x", 0, "y") for i, t in rows], DOCS)
+    got = sorted(map(tuple, ngram_join.jaccard_components(docs).collect()))
+    assert got == [(1, 0, 1), (2, 27, 2), (5, 26, 2), (5, 26, 2), (7, 26, 7), (7, 26, 7), (8, 26, 7), (9, 27, 2)]
+
+
+def test_packed_tokens():
+    rng = np.random.default_rng(5)
+    for n, most in ((0, 10), (1, 10), (1000, 1 << 20), (500, (1 << 64) - 1)):
+        tokens, owners = np.sort(rng.integers(3, most, n, np.uint64, endpoint=True)), rng.integers(0, 1 << 16, n).astype(np.uint16)
+        back = ngram_join.unpacked(ngram_join.packed(tokens, owners, 3), 3)
+        assert (back[0] == tokens).all() and (back[1] == owners).all() and len(back[0]) == n
+
+
 def test_decontamination(spark, texts):
     items = [texts[6], " ".join(texts[7].split()[:20]), "two words", None, "", "never seen anywhere in this corpus at all"]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
