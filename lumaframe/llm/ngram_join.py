@@ -6,7 +6,8 @@ share a token, and so many that what follows the prefixes can make up the rest.
 documents have, by their exact counts over the whole corpus, and break ties by another hash each. So a token that only one
 document has comes before all others: it can't be shared, and a document whose prefix has no others is in no pair at all.
 Candidates share a prefix token in the first order at a position that still allows the overlap; then their prefixes must share
-enough in all orders; then the sets are compared exactly, by the tokens that other documents have as well.
+enough in all orders; then the sets are compared exactly, by the tokens that other documents have as well. Where a run's
+documents are compared with each other, a bitmap of a set's tokens bounds the overlap before a pair is formed at all.
 
 1. Counts. A task joins its documents' tokens into sorted blocks, cuts these by ranges of the token space (parts) and sends them
    packed (differences of sorted tokens), one row for each block and part. Equal sets of a block are sent once, a token that
@@ -52,7 +53,9 @@ _MANY = 0xFFFF  # stands for such owners
 SALT_BITS = 8
 #: Members of a run's largest component that one of the others is compared with in a turn, and the pairs for each row of mixed
 #: runs beyond which there is another turn before all pairs between components are compared.
-HUBS, WORK_A_ROW = 8, 16
+HUBS, WORK_A_ROW = 8, 4
+#: Longs of a set's bitmap; a token sets one bit of it.
+BITMAP = 16
 
 
 # --- token counts
@@ -246,12 +249,19 @@ def _block_sets(rows: list[tuple], parts: int, percent: int, salt_bits: int) ->
     columns += [_lists(tokens[at].view(np.int64), sizes), _lists((salt << 32) | (early.astype(np.int64) << 31) | place, sizes)]
     columns += [_lists(tokens[ordered(level, k)].view(np.int64), sizes) for k in range(1, ORDERS)]
     columns.append(_lists(tokens[np.argsort(owners, kind="stable")].view(np.int64), all_sizes))
-    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "d1", "d2", "same", "t0", "places", *(f"t{k}" for k in range(1, ORDERS)), "shared"])
+    bit = np.unique(owners * 64 * BITMAP + (mix(tokens, 55) % np.uint64(64 * BITMAP)).astype(np.int64))
+    word, first_bit = np.unique(bit >> 6, return_index=True)
+    bitmaps = np.zeros((len(row), BITMAP), np.uint64)
+    if len(bit):
+        bitmaps.ravel()[word] = np.add.reduceat(np.uint64(1) << (bit & 63).astype(np.uint64), first_bit)
+    columns.append(_lists(bitmaps[want > 0].ravel().view(np.int64), in_rows(np.where(want > 0, BITMAP, 0))))
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "d1", "d2", "same", "t0", "places", *(f"t{k}" for k in range(1, ORDERS)), "shared", "bitmap"])
 
 
 def document_sets(docs: DataFrame, percent: int = 75) -> DataFrame:
     """Of every row of docs (doc_id long, text): doc_id, n (set size), d1 and d2 (the set's digest), same (doc_id of the first row
-    with this set in its block), the prefixes t0, t1, ... in each order and places of t0's tokens, and all tokens that other sets have as well.
+    with this set in its block), the prefixes t0, t1, ... in each order and places of t0's tokens, all tokens that other sets have
+    as well (shared) and the bitmap of these.
 
     Prefixes lack the tokens that no other set has; where nothing is left of them, and for rows after the first with their
     set, all arrays are empty. A place holds the salt, whether the token comes early enough to be the first that the set
@@ -275,7 +285,7 @@ def document_sets(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     counted = _blocks(docs, parts).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(count, _BLOCK_FIELDS)
     more = ", ".join(f"t{k} array<long>" for k in range(1, ORDERS))
-    fields = f"doc_id long, n int, d1 long, d2 long, same long, t0 array<long>, places array<long>, {more}, shared array<long>"
+    fields = f"doc_id long, n int, d1 long, d2 long, same long, t0 array<long>, places array<long>, {more}, shared array<long>, bitmap array<long>"
     return counted.repartition("block").sortWithinPartitions("block").mapInArrow(gather, fields)
 
 
@@ -348,9 +358,11 @@ def _hub_pairs(mixed: DataFrame, fits: str, turn: int, hubs: int) -> DataFrame:
 def _cross_pairs(mixed: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of documents of a run in different components for which its token may be the first that they share."""
     fits, need, _ = _limits(percent)
-    side = lambda s, *columns: [F.col(k).alias(f"{k}_{s}") for k in ("doc_id", "pos", "c", "n", *columns)]
+    words = [f"w{i}" for i in range(BITMAP)]
+    side = lambda s: [F.col(k).alias(f"{k}_{s}") for k in ("doc_id", "pos", "c", "n", "m", *words)]
+    apart = " + ".join(f"bit_count({w}_a ^ {w}_b)" for w in words)  # at most the tokens that just one of both has
     # The first token that two similar sets share leaves enough of both; it is early in the smaller one.
-    first = f"least(n_a - pos_a, n_b - pos_b) >= {need} and c_a <> c_b and {fits} and (n_a < n_b or n_a = n_b and doc_id_a < doc_id_b)"
+    first = f"least(n_a - pos_a, n_b - pos_b) >= {need} and c_a <> c_b and {fits} and (n_a < n_b or n_a = n_b and doc_id_a < doc_id_b) and m_a + m_b - ({apart}) >= 2 * {need}"
     early = mixed.where("early").select("token", "main", *side("a"))
     outside = early.where("c_a <> main").join(mixed.select("token", *side("b")), "token").where(first)
     inside = early.where("c_a = main").join(mixed.where("c <> main").select("token", *side("b")), "token").where(first)
@@ -366,7 +378,8 @@ def _linked(sets: DataFrame, percent: int, hubs: int, put: Callable[[DataFrame,
     firsts = put(firsts.drop("d1", "d2", "same"), "firsts")
     copies = copies.unionByName(firsts.where("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     sets = firsts.where("nth = 1 and size(t0) > 0").drop("rep", "nth")
-    sizes = sets.select("doc_id", "n").distinct()
+    words = [F.col("bitmap")[i].alias(f"w{i}") for i in range(BITMAP)]
+    sizes = sets.select("doc_id", "n", F.size("shared").alias("m"), *words).distinct()
 
     rows = sets.select("doc_id", F.explode(F.arrays_zip("t0", "places")).alias("x")).select(F.col("x.t0").alias("token"), "doc_id", F.col("x.places").alias("place"))
     salt = F.shiftright("place", 32)
