@@ -5,8 +5,10 @@ byte to the last. Each filter's activations are max-pooled over sections of 64 c
 overall maxima and the mean of the sections' maxima are combined into one probability. It is trained here, on a sample of
 labelled rows whose size is a parameter, in mini-batches with Adam; the gradient flows through the maxima alone.
 
-A null text is read as an empty one. Empty texts get the score of a blank chunk. Equal texts get equal scores.
-With labels of one kind only (or none) every score is that label (or 0.5).
+A null text is read as an empty one. Empty texts get the score of a blank chunk. Equal texts get equal scores, so repeated rows
+do. Texts of any length are read whole, in pieces. With labels of one kind only (or none) every score is that label (or 0.5). A
+doc_id with both labels counts as 1; a null doc_id has no label. Null texts aren't trained on. An empty table gives an empty
+result. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumaframe.llm.langid import fold
@@ -131,31 +133,49 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 5, batch: int =
     return net
 
 
-def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, seed: int = 7) -> Network:
-    """Train on labelled (doc_id, text, quality). Of each label, sample_rows rows at most, those with the smallest hash of doc_id.
+def sample(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> list[tuple[bytes, int]]:
+    """Texts and labels to train on, from labelled (doc_id, text, quality); each text once for each doc_id.
 
-    A label's rows have half of sample_bytes; a text that doesn't fit in what is left is passed over. If no text of a label fits, the
-    beginning of one stands for it.
+    Of each label, sample_rows at most, those with the smallest hash of doc_id, then the smallest doc_id and hash of the text. A
+    label's rows have half of sample_bytes; a text that doesn't fit in what is left is passed over. If no text of a label fits,
+    the beginning of one stands for it. The choice is made from ids, hashes and sizes; only the chosen texts are moved.
     """
-    texts, labels, most = [], [], sample_bytes // 2
+    spark, most = labelled.sparkSession, sample_bytes // 2
+    labelled = _measured(labelled).where(F.col("text").isNotNull())
+    known = labelled.groupBy("doc_id", "_lf_th", "quality").agg(F.max("_lf_bytes").alias("bytes"))
+    known = known.withColumn("h", F.xxhash64("doc_id")).withColumn("fits", F.col("bytes") <= most)
+    best = Window.partitionBy("quality", "fits").orderBy("h", "doc_id", "_lf_th")
+    # At most sample_rows ids for each label and for whether the text fits reach the driver.
+    ranked = known.withColumn("r", F.row_number().over(best)).where(F.col("r") <= sample_rows).orderBy("quality", "r").collect()
+    chosen = []
     for label in (0, 1):
-        known = labelled.where((F.col("quality") == label) & F.col("text").isNotNull()).select("text", F.xxhash64("doc_id").alias("h"), "doc_id")
-        rows = known.where(F.octet_length("text") <= most).orderBy("h", "doc_id", "text").limit(sample_rows)
-        size, before = 0, len(texts)
-        for r in rows.toLocalIterator():
-            raw = r["text"].encode("utf-8", "surrogatepass")
-            if size + len(raw) <= most:
-                size += len(raw)
-                texts.append(raw)
-        if len(texts) == before:
-            one = known.select(F.substring("text", 1, most).alias("text"), "h", "doc_id").orderBy("h", "doc_id", "text").limit(1)
-            texts += [r["text"].encode("utf-8", "surrogatepass")[:most] for r in one.collect()]
-        labels += [label] * (len(texts) - before)
-    return train(texts, np.array(labels, np.int64), seed=seed)
-
-
-def score_quality(docs: DataFrame, net: Network) -> DataFrame:
-    """docs with one more column: score of its text."""
+        size, before = 0, len(chosen)
+        for r in (r for r in ranked if r["quality"] == label and r["fits"]):
+            if size + r["bytes"] <= most:
+                size += r["bytes"]
+                chosen.append((r["doc_id"], r["_lf_th"], label))
+        if len(chosen) == before:
+            chosen += [(r["doc_id"], r["_lf_th"], label) for r in ranked if r["quality"] == label and not r["fits"]][:1]
+    key = labelled.schema["doc_id"].dataType.simpleString()
+    ids = spark.createDataFrame([c[:2] for c in chosen], f"doc_id {key}, _lf_th long")
+    texts = labelled.join(F.broadcast(ids), ["doc_id", "_lf_th"], "left_semi").select("doc_id", "_lf_th", F.substring("text", 1, most).alias("text"))
+    found = {(r["doc_id"], r["_lf_th"]): r["text"] for r in texts.groupBy("doc_id", "_lf_th").agg(F.first("text").alias("text")).collect()}
+    return [(found[doc, th].encode("utf-8", "surrogatepass")[:most], label) for doc, th, label in chosen]
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    """docs with hash and size of the text; if they are there before a join, a plan that needs no more doesn't move the text."""
+    return docs if "_lf_th" in docs.columns else docs.withColumns({"_lf_th": F.xxhash64("text"), "_lf_bytes": F.octet_length("text")})
+
+
+def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, seed: int = 7) -> Network:
+    """Train on a sample() of labelled (doc_id, text, quality)."""
+    rows = sample(labelled, sample_rows, sample_bytes)
+    return train([text for text, _ in rows], np.array([label for _, label in rows], np.int64), seed=seed)
+
+
+def score_quality(docs: DataFrame, net: Network, column: str = "score") -> DataFrame:
+    """docs with one more column, the score of its text; docs must have no column of that name."""
     ship_code(docs.sparkSession)
     names, at = [f.name for f in docs.schema], docs.columns.index("text")
 
@@ -170,10 +190,10 @@ def score_quality(docs: DataFrame, net: Network) -> DataFrame:
                     b += 1
                 found[a:b] = score_texts(net, texts[a:b])
                 a = b
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*names, column])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(score, f"{fields}, score double")
+    return docs.mapInArrow(score, f"{fields}, `{column}` double")
 
 
 def score_texts(net: Network, texts: list[bytes]) -> np.ndarray:
@@ -191,8 +211,9 @@ def score_texts(net: Network, texts: list[bytes]) -> np.ndarray:
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1) -> DataFrame:
-    """doc_id, text, quality of the labelled rows outside the held-out fold."""
-    return docs.select("doc_id", "text").join(labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id").where(fold(folds) != held_out)
+    """doc_id, text, quality of the labelled rows outside the held-out fold, with hash and size of the text."""
+    known = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return _measured(docs.select("doc_id", "text")).where(fold(folds) != held_out).join(known, "doc_id")
 
 
 def quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1) -> DataFrame:
