@@ -19,7 +19,7 @@ from lumaframe.session import stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the byte-level network, trained on labels' rows outside its held-out third, scores below 0.5."""
     net = quality.fit(quality.labelled_rows(docs, table(spark, sf_dir, "labels")))
-    return quality.score_quality(docs, net).where("score >= 0.5").select(*docs.columns)
+    return quality.score_quality(docs, net, "_lf_score").where("_lf_score >= 0.5").select(*docs.columns)
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
