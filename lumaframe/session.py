@@ -6,8 +6,6 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,10 +48,20 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/lumaframe/{what}-{uuid.uuid4().hex}"
 
 
+#: Spark then deletes a query's shuffle files when it ends; a written table is read from its files, so they aren't used again.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def put(df: DataFrame, path: str, compression: str = "zstd") -> DataFrame:
     """Write a table to a path and read it again: cuts the lineage and survives lost executors."""
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def stage(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
@@ -67,17 +75,30 @@ def discard(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-@contextmanager
-def scratch(spark: SparkSession, what: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
-    """stage() for an operator's own tables, in one folder of the shared folder that is deleted at the end.
+class Scratch:
+    """stage() for an operator's own tables, in one folder of the shared folder that is deleted at the end of a with block.
 
     What the operator returns has to be staged outside, or must not need the tables any more.
     """
-    path = new_path(spark, what)
-    try:
-        yield lambda df, name: put(df, f"{path}/{name}-{uuid.uuid4().hex}")
-    finally:
-        discard(spark, path)
+
+    def __init__(self, spark: SparkSession, what: str) -> None:
+        self.spark, self.path, self.tables = spark, new_path(spark, what), {}
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.path}/{name}-{uuid.uuid4().hex}"
+        found = put(df, path)
+        self.tables[id(found)] = found, path
+        return found
+
+    def drop(self, table: DataFrame) -> None:
+        """Delete one of the tables now."""
+        discard(self.spark, self.tables.pop(id(table))[1])
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        discard(self.spark, self.path)
 
 
 def ship_code(spark: SparkSession) -> None:
