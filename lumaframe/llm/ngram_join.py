@@ -29,7 +29,7 @@ columns are not read, whatever their names. A null doc_id gets 0 and a null comp
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from lumaframe.llm.components import connected_components
 from lumaframe.llm.words import mix, shingles
-from lumaframe.session import scratch, ship_code, stage
+from lumaframe.session import Scratch, ship_code, stage
 
 ORDERS = 3
 #: A block ends with the document that gives it so many tokens or rows; a part has the tokens of about so many bytes of text.
@@ -320,14 +320,22 @@ def _limits(percent: int) -> tuple[str, str, str]:
     return f"100L * least(n_a, n_b) >= {percent}L * greatest(n_a, n_b)", f"ceil({percent}d * (n_a + n_b) / {100 + percent}d - 1e-9)", f"ceil({percent}L * greatest(n_a, n_b) / 100d) - 1"
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) that share enough prefix tokens in every order, and enough tokens in all."""
-    side = lambda s, *columns: sets.select(F.col("doc_id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("n", *columns)))
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, put: Scratch) -> DataFrame:
+    """Those of pairs (a, b) that share enough prefix tokens in every order, and enough tokens in all.
+
+    Pairs are written first: their size decides how they meet the sets, of which only those in pairs are moved.
+    """
+
+    def side(s: str, of: DataFrame, *columns: str) -> DataFrame:
+        named = sets.select(F.col("doc_id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("n", *columns)))
+        return named.join(of.select(s).distinct(), s, "left_semi")
+
     fits, need, beyond = _limits(percent)
     orders = [f"t{k}" for k in range(ORDERS)]
     agree = " and ".join(f"size(array_intersect({t}_a, {t}_b)) + {beyond} >= {need}" for t in orders)
-    near = pairs.join(side("a", *orders), "a").join(side("b", *orders), "b").where(f"{fits} and {agree}").select("a", "b").distinct()
-    both = near.join(side("a", "shared"), "a").join(side("b", "shared"), "b").select("a", "b", "n_a", "n_b", F.size(F.array_intersect("shared_a", "shared_b")).alias("c"))
+    pairs = put(pairs, "pairs")
+    near = put(pairs.join(side("a", pairs, *orders), "a").join(side("b", pairs, *orders), "b").where(f"{fits} and {agree}").select("a", "b").distinct(), "near")
+    both = near.join(side("a", near, "shared"), "a").join(side("b", near, "shared"), "b").select("a", "b", "n_a", "n_b", F.size(F.array_intersect("shared_a", "shared_b")).alias("c"))
     return both.where(f"100L * c >= {percent}L * (n_a + n_b - c)").select("a", "b").distinct()
 
 
@@ -369,13 +377,15 @@ def _cross_pairs(mixed: DataFrame, percent: int) -> DataFrame:
     return outside.unionByName(inside).select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
 
 
-def _linked(sets: DataFrame, percent: int, hubs: int, put: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """id, component of every document that isn't its component's smallest."""
-    copies = sets.where("same <> doc_id").select(F.col("same").alias("a"), F.col("doc_id").alias("b"))
+def _linked(whole: DataFrame, percent: int, hubs: int, put: Scratch) -> tuple[DataFrame, DataFrame]:
+    """doc_id and n of every document; id, component of every document that isn't its component's smallest. The table of sets is dropped."""
+    every = put(whole.select("doc_id", "n", "same"), "rows")
+    copies = every.where("same <> doc_id").select(F.col("same").alias("a"), F.col("doc_id").alias("b"))
     of_set = Window.partitionBy("d1", "d2").orderBy("doc_id")
     # A block has sent each set once, so of however many copies one row a block meets here.
-    firsts = sets.where("n > 0 and same = doc_id").withColumn("rep", F.first("doc_id").over(of_set)).withColumn("nth", F.row_number().over(of_set))
+    firsts = whole.where("n > 0 and same = doc_id").withColumn("rep", F.first("doc_id").over(of_set)).withColumn("nth", F.row_number().over(of_set))
     firsts = put(firsts.drop("d1", "d2", "same"), "firsts")
+    put.drop(whole)
     copies = copies.unionByName(firsts.where("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     sets = firsts.where("nth = 1 and size(t0) > 0").drop("rep", "nth")
     words = [F.col("bitmap")[i].alias(f"w{i}") for i in range(BITMAP)]
@@ -391,7 +401,7 @@ def _linked(sets: DataFrame, percent: int, hubs: int, put: Callable[[DataFrame,
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(f"{fits} and {enough}").select("a", "b")
     heads = runs.where(salt > 0).select("token", "hub").distinct()
     across = heads.join(heads.groupBy("token").agg(F.min("hub").alias("a")), "token").select("a", F.col("hub").alias("b")).where("a <> b")
-    links = copies.unionByName(_verified(pairs.unionByName(across).distinct(), sets, percent))
+    links = copies.unionByName(_verified(pairs.unionByName(across).distinct(), sets, percent, put))
     parts = connected_components(links, put)
 
     edges = lambda parts, more: parts.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more)
@@ -400,22 +410,21 @@ def _linked(sets: DataFrame, percent: int, hubs: int, put: Callable[[DataFrame,
         size = mixed.agg(F.count("*").alias("rows"), F.sum(F.expr("if(early and c <> main, size, 0)")).alias("work")).first()
         if size["rows"] == 0 or size["work"] <= WORK_A_ROW * size["rows"] or (before is not None and size["work"] > 0.9 * before):
             break
-        more = put(_verified(_hub_pairs(mixed, fits, turn, hubs), sets, percent), "links")
+        more = put(_verified(_hub_pairs(mixed, fits, turn, hubs), sets, percent, put), "links")
         if more.isEmpty():
             break
         parts = connected_components(edges(parts, more), put)
         mixed, before, turn = put(_mixed_runs(runs, parts, sizes), "mixed"), size["work"], turn + 1
-    more = put(_verified(_cross_pairs(mixed, percent), sets, percent), "links")
-    return parts if more.isEmpty() else connected_components(edges(parts, more), put)
+    more = put(_verified(_cross_pairs(mixed, percent), sets, percent, put), "links")
+    return every, parts if more.isEmpty() else connected_components(edges(parts, more), put)
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id long, text); 0 and null for a null doc_id, as in SQL."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     unnamed = docs.where("doc_id is null").selectExpr("doc_id", "0L as n_shingles", "doc_id as component_id")
-    with scratch(docs.sparkSession, "jaccard") as put:
-        sets = put(document_sets(docs.where("doc_id is not null"), percent), "sets")
-        parts = _linked(sets, percent, HUBS, put)
-        found = sets.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    with Scratch(docs.sparkSession, "jaccard") as put:
+        every, parts = _linked(put(document_sets(docs.where("doc_id is not null"), percent), "sets"), percent, HUBS, put)
+        found = every.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left")
         found = stage(found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), "components")
     return found.unionByName(unnamed)
