@@ -11,7 +11,11 @@ Every byte covered by a string of `length` bytes that also starts elsewhere, in
    (suffix types, recursively sorted leftmost-smaller substrings, two linear inducing passes), its permuted common prefixes
    follow from the irreducible ones, and a window repeats if it shares `length` bytes with a neighbour in suffix order.
 
-A null text is empty and has nothing to remove. Repeated rows repeat each other. Texts under `length` bytes stay whole.
+In 2, segments count as equal if the 64-bit hashes of their bytes and of their anchors and its place are equal; their bytes are
+not compared. That is the one place where a hash decides.
+
+A null text is empty and has nothing to remove. Repeated rows repeat each other. Texts under `length` bytes stay whole, texts of
+any length are read whole, in blocks. An empty table gives an empty result. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumaframe.llm.words import mix
+from lumaframe.llm.words import mix, texts_of
 from lumaframe.session import ship_code, stage
 
 GRAM = 64
@@ -44,7 +48,7 @@ def suffix_types(s: np.ndarray) -> np.ndarray:
     n = len(s)
     change = np.append(np.flatnonzero(s[:-1] != s[1:]), n - 1)
     smaller = np.append(s[:-1] < s[1:], True)
-    return smaller[change[np.searchsorted(change, np.arange(n))]]
+    return np.repeat(smaller[change], np.diff(np.append(-1, change)))
 
 
 def _placed(values: np.ndarray, keys: np.ndarray, sizes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,7 +62,7 @@ def _placed(values: np.ndarray, keys: np.ndarray, sizes: int) -> tuple[np.ndarra
 def _induce(s: np.ndarray, small: np.ndarray, starts: np.ndarray, ends: np.ndarray, seeds: np.ndarray, size: int) -> np.ndarray:
     """Both inducing passes, bucket by bucket; what one bucket induces is placed at once. seeds: sorted leftmost-smaller suffixes."""
     n = len(s)
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32)
     seed_keys = s[seeds]
     seed_at = np.searchsorted(seed_keys, np.arange(size + 1))
     heads = starts.copy()
@@ -109,64 +113,69 @@ def _induce(s: np.ndarray, small: np.ndarray, starts: np.ndarray, ends: np.ndarr
     return sa
 
 
-def _sort_names(names: list[int], size: int) -> list[int]:
+def _names(s: np.ndarray, leftmost: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, int]:
+    """The rank of each leftmost-smaller substring (equal ones have one), in text order, and the number of ranks. ordered: leftmost in substring order."""
+    n = len(s)
+    length = np.zeros(n, np.int32)
+    length[leftmost] = np.diff(np.append(leftmost, n - 1)) + 1
+    a, b = ordered[:-1], ordered[1:]
+    same = length[a] == length[b]
+    live, k = np.flatnonzero(same), 0
+    while len(live):
+        equal = s[a[live] + k] == s[b[live] + k]
+        same[live[~equal]] = False
+        k += 1
+        live = live[equal]
+        live = live[length[a[live]] > k]
+    rank = np.concatenate([[0], np.cumsum(~same)]).astype(np.int32)
+    at = np.empty(n, np.int32)
+    at[ordered] = rank
+    return at[leftmost], int(rank[-1]) + 1
+
+
+def _sort_names(names: np.ndarray, size: int) -> np.ndarray:
     """Suffix array of the reduced string by the same induced sorting, one value at a time: its alphabet is too large for whole buckets."""
     n = len(names)
     if size == n:
-        order = [0] * n
-        for i, v in enumerate(names):
-            order[v] = i
+        order = np.empty(n, np.int32)
+        order[names] = np.arange(n, dtype=np.int32)
         return order
-    small = [True] * n
-    for i in range(n - 2, -1, -1):
-        a, b = names[i], names[i + 1]
-        small[i] = a < b or (a == b and small[i + 1])
-    counts = [0] * size
-    for v in names:
-        counts[v] += 1
-    starts, ends, total = [0] * size, [0] * size, 0
-    for v in range(size):
-        starts[v] = total
-        total += counts[v]
-        ends[v] = total
-    leftmost = [i for i in range(1, n) if small[i] and not small[i - 1]]
-
-    def induce(seeds: list[int]) -> list[int]:
+    smaller = suffix_types(names)
+    counts = np.bincount(names, minlength=size)
+    first_end = np.cumsum(counts)
+    leftmost = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    values, small, starts, ends = names.tolist(), smaller.tolist(), (first_end - counts).tolist(), first_end.tolist()
+
+    def induce(seeds: list[int]) -> np.ndarray:
         sa = [-1] * n
         tails = ends[:]
         for i in reversed(seeds):
-            tails[names[i]] -= 1
-            sa[tails[names[i]]] = i
+            v = values[i]
+            at = tails[v] = tails[v] - 1
+            sa[at] = i
         heads = starts[:]
-        for x in range(n):
-            i = sa[x] - 1
-            if i >= 0 and not small[i]:
-                v = names[i]
-                sa[heads[v]] = i
-                heads[v] += 1
+        for i in sa:  # what is written ahead of here is read later
+            if i > 0 and not small[i - 1]:
+                i -= 1
+                v = values[i]
+                at = heads[v]
+                sa[at] = i
+                heads[v] = at + 1
         tails = ends[:]
         sa[0] = n - 1
         for x in range(n - 1, -1, -1):
             i = sa[x] - 1
             if i >= 0 and small[i]:
-                v = names[i]
-                tails[v] -= 1
-                sa[tails[v]] = i
-        return sa
-
-    is_leftmost = bytearray(n)
-    for i in leftmost:
-        is_leftmost[i] = 1
-    ordered = [i for i in induce(leftmost) if is_leftmost[i]]
-    after = dict(zip(leftmost, [*leftmost[1:], n - 1], strict=True))
-    named, name, last = {}, -1, None
-    for i in ordered:
-        part = names[i : after[i] + 1]
-        if part != last:
-            name, last = name + 1, part
-        named[i] = name
-    reduced = [named[i] for i in leftmost]
-    return induce([leftmost[i] for i in _sort_names(reduced, name + 1)])
+                v = values[i]
+                at = tails[v] = tails[v] - 1
+                sa[at] = i
+        return np.array(sa, np.int32)
+
+    mark = np.zeros(n, bool)
+    mark[leftmost] = True
+    first = induce(leftmost.tolist())
+    reduced, count = _names(names, leftmost, first[mark[first]])
+    return induce(leftmost[_sort_names(reduced, count)].tolist())
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -183,43 +192,27 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     first = _induce(s, small, starts, ends, by_value, size)
     mark = np.zeros(n, bool)
     mark[leftmost] = True
-    ordered = first[mark[first]]
-    length = np.zeros(n, np.int64)
-    length[leftmost] = np.diff(np.append(leftmost, n - 1)) + 1
-    a, b = ordered[:-1], ordered[1:]
-    same = length[a] == length[b]
-    live, k = np.flatnonzero(same), 0
-    while len(live):
-        equal = s[a[live] + k] == s[b[live] + k]
-        same[live[~equal]] = False
-        k += 1
-        live = live[equal]
-        live = live[length[a[live]] > k]
-    names = np.concatenate([[0], np.cumsum(~same)])
-    if names[-1] + 1 < len(ordered):
-        at = np.empty(n, np.int64)
-        at[ordered] = names
-        ordered = leftmost[np.array(_sort_names(at[leftmost].tolist(), int(names[-1]) + 1), np.int64)]
-    return _induce(s, small, starts, ends, ordered, size)
+    names, count = _names(s, leftmost, first[mark[first]])
+    return _induce(s, small, starts, ends, leftmost[_sort_names(names, count)], size)
 
 
 def permuted_prefixes(s: np.ndarray, sa: np.ndarray, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Each suffix's predecessor in suffix order, and how long a prefix they share; values under `least` match nothing.
 
-    Only irreducible entries (what stands before the two suffixes differs) are compared, in steps of 8 values at once; each
+    Only irreducible entries (what stands before the two suffixes differs) are compared, all at once value by value; each
     other entry is one less than the one before it.
     """
     n = len(s)
-    phi = np.empty(n, np.int64)
+    phi = np.empty(n, np.int32)
     phi[sa[1:]] = sa[:-1]
     phi[sa[0]] = sa[0]
-    i = np.arange(n)
-    reducible = (i > 0) & (phi > 0) & (s == s)
+    i = np.arange(n, dtype=np.int32)
+    reducible = (i > 0) & (phi > 0)
     reducible[1:] &= (s[:-1] == s[phi[1:] - 1]) & (s[:-1] >= least) & (phi[1:] > 0)
     heads = np.flatnonzero(~reducible)
-    shared = np.zeros(n, np.int64)
+    shared = np.zeros(n, np.int32)
     a, b, live = heads, phi[heads], np.arange(len(heads))
-    found = np.zeros(len(heads), np.int64)
+    found = np.zeros(len(heads), np.int32)
     while len(live):
         x, y = a[live] + found[live], b[live] + found[live]
         ok = (x < n) & (y < n) & (x != y)
@@ -227,7 +220,7 @@ def permuted_prefixes(s: np.ndarray, sa: np.ndarray, least: int = 2) -> tuple[np
         equal = (s[x] == s[y]) & (s[x] >= least)
         live = live[equal]
         found[live] += 1
-    last = np.maximum.accumulate(np.where(reducible, -1, i))
+    last = np.maximum.accumulate(np.where(reducible, np.int32(-1), i))
     shared[heads] = found
     return phi, np.maximum(shared[last] - (i - last), 0)
 
@@ -235,11 +228,11 @@ def permuted_prefixes(s: np.ndarray, sa: np.ndarray, least: int = 2) -> tuple[np
 def repeated_windows(texts: list[bytes], length: int) -> list[np.ndarray]:
     """For each text, which starts of `length` bytes also start elsewhere in these texts."""
     sizes = np.array([len(t) for t in texts])
-    s = np.ones(int(sizes.sum()) + len(texts) + 1, np.int64)
+    s = np.ones(int(sizes.sum()) + len(texts) + 1, np.uint16)
     s[-1] = 0
     ends = np.cumsum(sizes + 1) - 1
     raw = np.frombuffer(b"\0".join(texts), np.uint8)
-    s[: len(raw)] = raw.astype(np.int64) + 2
+    s[: len(raw)] = raw.astype(np.uint16) + 2
     s[ends] = 1
     sa = suffix_array(s)
     phi, shared = permuted_prefixes(s, sa)
@@ -312,7 +305,7 @@ def merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _text_blocks(column: pa.Array, limit: int) -> Iterator[tuple[int, list[bytes]]]:
     a, block, size = 0, [], 0
-    for i, text in enumerate(column.to_pylist()):
+    for i, text in enumerate(texts_of(column)):
         raw = (text or "").encode("utf-8", "surrogatepass")
         if block and size + len(raw) > limit:
             yield a, block
@@ -332,12 +325,13 @@ def _long_segments(raw: bytes, length: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def repeats(docs: DataFrame, length: int = 200) -> DataFrame:
-    """doc_id, th (hash of the text), spans: sorted disjoint byte intervals to remove, of the rows that have any."""
-    spark = docs.sparkSession
-    ship_code(spark)
-    key = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.where(F.octet_length("text") >= length).select("doc_id", F.xxhash64("text").alias("th"), "text")
+def _rows(docs: DataFrame, length: int) -> DataFrame:
+    return docs.where(F.octet_length("text") >= length).select("doc_id", F.xxhash64("text").alias("th"), "text")
+
+
+def _hits(rows: DataFrame, length: int) -> DataFrame:
+    """The staged table of segments that come again or may share a part, with their kind: see _compare()."""
+    key = rows.schema["doc_id"].dataType.simpleString()
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,8 +342,12 @@ def repeats(docs: DataFrame, length: int = 200) -> DataFrame:
 
     schema = f"doc_id {key}, th long, start long, windows int, anchor long, mark int, content long"
     dealt = rows.mapInArrow(anchors, schema).repartition("anchor").sortWithinPartitions("anchor", "content")
-    hits = stage(dealt.mapInArrow(_compare, f"{schema}, kind int"), "anchors")
+    return stage(dealt.mapInArrow(_compare, f"{schema}, kind int"), "anchors")
+
 
+def _shards(rows: DataFrame, hits: DataFrame, length: int) -> DataFrame:
+    """doc_id, th, start, anchor, sub, kind, piece of the segments to compare, those of one anchor (and offset class) together."""
+    key = rows.schema["doc_id"].dataType.simpleString()
     asked = hits.where("kind > 0")
     hot = asked.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT_SEGMENTS)
     asked = asked.join(hot, "anchor", "left").groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "windows", "anchor", "mark", "kind", F.col("n").isNotNull().alias("hot"))).alias("asked"))
@@ -359,7 +357,7 @@ def repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, out = [], ([], [], [], [], [])
-            for i, (text, wanted) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            for i, (text, wanted) in enumerate(zip(texts_of(batch.column(2)), texts_of(batch.column(3)), strict=True)):
                 raw = text.encode("utf-8", "surrogatepass")
                 for w in wanted:
                     runs = [(0, w["windows"], -1)]
@@ -375,7 +373,16 @@ def repeats(docs: DataFrame, length: int = 200) -> DataFrame:
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True))], names=["doc_id", "th", "start", "anchor", "sub", "kind", "piece"])
 
-    shards = found.mapInArrow(extract, f"doc_id {key}, th long, start long, anchor long, sub int, kind int, piece binary").repartition("anchor", "sub").sortWithinPartitions("anchor", "sub")
+    return found.mapInArrow(extract, f"doc_id {key}, th long, start long, anchor long, sub int, kind int, piece binary").repartition("anchor", "sub").sortWithinPartitions("anchor", "sub")
+
+
+def repeats(docs: DataFrame, length: int = 200) -> DataFrame:
+    """doc_id, th (hash of the text), spans: sorted disjoint byte intervals to remove, of the rows that have any."""
+    ship_code(docs.sparkSession)
+    key = docs.schema["doc_id"].dataType.simpleString()
+    rows = _rows(docs, length)
+    hits = _hits(rows, length)
+    shards = _shards(rows, hits, length)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -480,11 +487,11 @@ def dedup_substrings(docs: DataFrame, length: int = 200, keep_text: bool = False
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = ([], [], [], [], [])
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, found in zip(texts_of(batch.column(1)), texts_of(batch.column(2)), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 gone = merged([(x["a"], x["b"]) for x in found or []])
                 kept = b"".join(raw[a:b] for a, b in zip([0, *(b for _, b in gone)], [*(a for a, _ in gone), len(raw)], strict=True))
-                for column, value in zip(out, (len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept), strict=True):
+                for column, value in zip(out, (len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept if keep_text else None), strict=True):
                     column.append(value)
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             columns = [pa.array(x, t) for x, t in zip(out, types, strict=True)]

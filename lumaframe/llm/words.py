@@ -5,7 +5,10 @@ Words are the maximal runs of bytes other than space and 0x09-0x0D, with A-Z low
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 SHINGLE = 5
@@ -25,6 +28,16 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+#: Values of a column that are Python objects at once.
+_SLICE = 256
+
+
+def texts_of(column: pa.Array) -> Iterator:
+    """The values of a column, some at a time, so that a batch of long texts isn't held twice."""
+    for a in range(0, len(column), _SLICE):
+        yield from column.slice(a, _SLICE).to_pylist()
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit finaliser; each seed gives another order of the same values."""
     x = x ^ np.uint64((seed * 0x9E3779B97F4A7C15 + 0x2545F4914F6CDD1D) & 0xFFFFFFFFFFFFFFFF)
