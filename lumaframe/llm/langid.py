@@ -5,38 +5,85 @@ all training texts. A document's own most frequent n-grams are compared with eac
 how far each n-gram's rank is from its rank there, or the largest distance where the profile lacks it. The nearest language
 wins, ties go to the alphabetically first. The score is 1 minus the distance as a share of the largest possible one.
 
-A null text, or one without a letter, is `und` with score 0, and so is every text if nothing could be learned.
+Letters are the characters that Unicode has in a letter category; of other ones, runs count as one blank. N-grams of equal
+frequency are ranked alphabetically by code point, in profiles and documents alike.
+
+A null text, or one without a letter, is `und` with score 0, and so is every text if nothing could be learned. Texts of any
+length are read whole, in pieces. Repeated rows get one result each. An empty table gives an empty result. Other columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumaframe.llm.words import texts_of
 from lumaframe.session import ship_code
 
-ORDERS = (1, 2, 3)
 RANKS = 400
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
-#: Words whose n-grams a task keeps; then they are counted or forgotten, and it starts again.
-CACHE_WORDS = 300_000
+#: Characters of a text that are read at once, and different n-grams that a task holds at most.
+PIECE, HELD_GRAMS = 1 << 18, 1 << 20
+#: Characters of training texts that are counted together.
+BATCH_CHARS = 1 << 20
+_BITS, _BLANK = np.uint64(21), 32
+
+
+@cache
+def _letters() -> np.ndarray:
+    """Each code point, or a blank for what is no letter."""
+    return np.array([c if chr(c).isalpha() else _BLANK for c in range(0x110000)], np.uint64)
+
+
+def gram_codes(text: str) -> np.ndarray:
+    """The n-grams of 1 to 3 letters of a text, repeats included, as numbers in alphabetical order: 21 bits a character."""
+    c = _letters()[np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32)]
+    is_letter = c != _BLANK
+    high, middle = c << (_BITS * np.uint64(2)), c << _BITS
+    two = is_letter[:-1] | is_letter[1:]
+    three = is_letter[1:-1]
+    return np.concatenate([high[is_letter], (high[:-1] | middle[1:])[two], (high[:-2] | middle[1:-1] | c[2:])[three]])
+
+
+def _counted(codes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Different codes in order, and how often each comes."""
+    if counts is not None:
+        order = np.argsort(codes, kind="stable")
+        codes, counts = codes[order], counts[order]
+    else:
+        codes = np.sort(codes)
+    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.empty(0, np.int64)
+    total = np.diff(np.append(first, len(codes))) if counts is None else np.add.reduceat(counts, first) if len(first) else counts
+    return codes[first], total
+
+
+def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Different n-grams of a text and their frequencies. Long texts are cut before blanks, which no n-gram has in its middle."""
+    text = text.lower()
+    if len(text) <= PIECE:
+        return _counted(gram_codes(text))
+    found, a = (np.empty(0, np.uint64), np.empty(0, np.int64)), 0
+    while a < len(text):
+        b = min(a + PIECE, len(text))
+        while b < len(text) and text[b].isalpha():
+            b += 1
+        more = _counted(gram_codes(text[a:b]))
+        found = _counted(np.concatenate([found[0], more[0]]), np.concatenate([found[1], more[1]]))
+        a = b
+    return found
 
 
-def word_grams(word: str) -> list[str]:
-    """The n-grams of a lower-case word's letter runs."""
-    return [f" {run} "[i : i + n] for run in _NOT_LETTERS.split(word) if run for n in ORDERS for i in range(len(run) + 3 - n) if n > 1 or 0 < i <= len(run)]
+def gram_text(code: int) -> str:
+    return "".join(chr(c) for c in (code >> 42, (code >> 21) & 0x1FFFFF, code & 0x1FFFFF) if c)
 
 
-def plain_words(text: str) -> list[str]:
-    """Lower-case words; commas and full stops are no letters, so without them fewer different words stay and all n-grams."""
-    return text.lower().replace(",", " ").replace(".", " ").split()
+def gram_code(gram: str) -> int:
+    return sum(ord(c) << (42 - 21 * i) for i, c in enumerate(gram))
 
 
 def profiles(train: DataFrame, ranks: int = RANKS) -> dict[str, list[str]]:
@@ -44,31 +91,39 @@ def profiles(train: DataFrame, ranks: int = RANKS) -> dict[str, list[str]]:
     ship_code(train.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, Counter] = {}
-        grams: dict[str, Counter] = {}
+        waiting: dict[str, list[np.ndarray]] = {}
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
-        def turn() -> None:
-            for lang, counted in words.items():
-                total = grams.setdefault(lang, Counter())
-                for word, n in counted.items():
-                    for gram in word_grams(word):
-                        total[gram] += n
-            words.clear()
+        def turn(lang: str) -> None:
+            codes, counts = _counted(np.concatenate(waiting.pop(lang)))
+            before = held.get(lang, (codes[:0], counts[:0]))
+            held[lang] = _counted(np.concatenate([before[0], codes]), np.concatenate([before[1], counts]))
 
         def flush() -> pa.RecordBatch:
-            rows = [(lang, gram, n) for lang, total in grams.items() for gram, n in total.items()]
-            grams.clear()
-            lang, gram, n = zip(*rows, strict=True) if rows else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(gram, pa.string()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
-
+            for lang in list(waiting):
+                turn(lang)
+            langs = [lang for lang, (codes, _) in held.items() for _ in codes]
+            grams = [gram_text(code) for codes, _ in held.values() for code in codes.tolist()]
+            counts = np.concatenate([np.empty(0, np.int64), *(n for _, n in held.values())])
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(grams, pa.string()), pa.array(counts, pa.int64())], names=["lang", "gram", "n"])
+
+        size = 0
         for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words.setdefault(lang, Counter()).update(plain_words(text))
-            if sum(map(len, words.values())) > CACHE_WORDS:
-                turn()
-            if sum(map(len, grams.values())) > CACHE_WORDS:
-                yield flush()
-        turn()
+            for text, lang in zip(texts_of(batch.column(0)), texts_of(batch.column(1)), strict=True):
+                if len(text) > PIECE:
+                    codes, counts = gram_counts(text)
+                    before = held.get(lang, (codes[:0], counts[:0]))
+                    held[lang] = _counted(np.concatenate([before[0], codes]), np.concatenate([before[1], counts]))
+                else:
+                    waiting.setdefault(lang, []).append(gram_codes(text.lower()))
+                    size += len(text)
+                if size >= BATCH_CHARS:
+                    size = 0
+                    for waits in list(waiting):
+                        turn(waits)
+                    if sum(len(codes) for codes, _ in held.values()) > HELD_GRAMS:
+                        yield flush()
         yield flush()
 
     counted = train.where("text is not null and lang is not null").select("text", "lang").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -81,55 +136,30 @@ def profiles(train: DataFrame, ranks: int = RANKS) -> dict[str, list[str]]:
 
 
 class Ranker:
-    """Predicts a text's language from profiles; the ids of n-grams are given as they are met."""
+    """Predicts a text's language from profiles."""
 
     def __init__(self, known: dict[str, list[str]], ranks: int = RANKS) -> None:
         self.langs, self.ranks = sorted(known), ranks
-        self.at = {lang: {g: i for i, g in enumerate(known[lang])} for lang in self.langs}
-        self.restart()
-
-    def restart(self) -> None:
-        self.words: dict[str, bytes] = {}
-        self.ids: dict[str, int] = {}
-        self.ties = np.zeros(1024, np.int64)
-        self.places = np.full((len(self.langs), 1024), -1, np.int64)
-
-    def gram_id(self, gram: str) -> int:
-        i = self.ids.get(gram)
-        if i is None:
-            i = self.ids[gram] = len(self.ids)
-            if i >= len(self.ties):
-                self.ties = np.concatenate([self.ties, np.zeros(len(self.ties), np.int64)])
-                self.places = np.concatenate([self.places, np.full_like(self.places, -1)], axis=1)
-            self.ties[i] = xxhash.xxh32_intdigest(gram.encode())
-            self.places[:, i] = [self.at[lang].get(gram, -1) for lang in self.langs]
-        return i
+        codes = {lang: np.array([gram_code(g) for g in known[lang]], np.uint64) for lang in self.langs}
+        self.codes = np.unique(np.concatenate([np.empty(0, np.uint64), *codes.values()]))
+        # One column for each n-gram that a profile has, and one for all others.
+        self.places = np.full((len(self.langs), len(self.codes) + 1), -1, np.int64)
+        for i, lang in enumerate(self.langs):
+            self.places[i, np.searchsorted(self.codes, codes[lang])] = np.arange(len(codes[lang]))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.langs:
             return "und", 0.0
-        if len(self.words) > CACHE_WORDS or len(self.ids) > CACHE_WORDS:
-            self.restart()
-        joined = []
-        for word in plain_words(text):
-            ids = self.words.get(word)
-            if ids is None:
-                ids = self.words[word] = np.array([self.gram_id(g) for g in word_grams(word)], np.int32).tobytes()
-            joined.append(ids)
-        every = np.frombuffer(b"".join(joined), np.int32)
-        if not len(every):
+        codes, counts = gram_counts(text)
+        if not len(codes):
             return "und", 0.0
-        counts = np.bincount(every)
-        seen = np.flatnonzero(counts)
-        order = (counts[seen].astype(np.int64) << 32) | self.ties[seen]
-        if len(seen) > self.ranks:
-            top = np.argpartition(order, len(order) - self.ranks)[len(order) - self.ranks :]
-            seen, order = seen[top], order[top]
-        seen = seen[np.argsort(-order, kind="stable")]
-        places = self.places[:, seen]
-        apart = np.where(places < 0, self.ranks, np.abs(places - np.arange(len(seen)))).sum(axis=1)
+        top = codes[np.argsort(-counts, kind="stable")[: self.ranks]]
+        at = np.searchsorted(self.codes, top)
+        at[at == len(self.codes)] = 0
+        places = self.places[:, np.where(self.codes[at] == top, at, len(self.codes))]
+        apart = np.where(places < 0, self.ranks, np.abs(places - np.arange(len(top)))).sum(axis=1)
         best = int(np.argmin(apart))
-        return self.langs[best], float(1 - apart[best] / (self.ranks * len(seen)))
+        return self.langs[best], float(1 - apart[best] / (self.ranks * len(top)))
 
 
 def predict_language(docs: DataFrame, known: dict[str, list[str]], ranks: int = RANKS) -> DataFrame:
@@ -139,7 +169,7 @@ def predict_language(docs: DataFrame, known: dict[str, list[str]], ranks: int =
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranker = Ranker(known, ranks)
         for batch in batches:
-            found = [ranker.predict(t) for t in batch.column(1).to_pylist()]
+            found = [ranker.predict(t) for t in texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     key = docs.schema["doc_id"].dataType.simpleString()

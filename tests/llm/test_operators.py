@@ -311,6 +311,41 @@ def test_language(spark):
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r.score <= 1 for i, r in got.items())
 
 
+def plain_grams(text):
+    """N-grams of letter runs, most frequent first, then by code point."""
+    counts = Counter()
+    for run in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+        for n in (1, 2, 3):
+            counts.update(g for g in ((f" {run} ")[i : i + n] for i in range(len(run) + 3 - n)) if g != " ")
+    return sorted(counts, key=lambda g: (-counts[g], g)), counts
+
+
+def test_language_equals_brute_force(spark, texts, monkeypatch):
+    monkeypatch.setattr(langid, "BATCH_CHARS", 2_000)
+    odd = ["½ ² 12", "Ⅷ ①", "_ _", "日本語 テキスト", "Ⅷa", "a", "x" * 5000, "İΣ ß ŉ", None, "", "aa bb", "bb aa"]
+    train = {"en": ["the house and the garden of the king", "is it on the other side"], "de": ["der garten und das haus des königs"], "fr": ["la maison et le jardin du roi"]}
+    rows = [(lang, t) for lang, known in train.items() for t in known] + [(None, "nothing to learn")]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    known = langid.profiles(docs, 60)
+    want, total = {}, {}
+    for lang, some in train.items():
+        counts = sum((plain_grams(t)[1] for t in some), Counter())
+        want[lang] = sorted(counts, key=lambda g: (-counts[g], g))[:60]
+        total[lang] = {g: i for i, g in enumerate(want[lang])}
+    assert known == want
+    every = [*odd, *texts, "der kleine garten", "the great house"]
+    got = {r.doc_id: r for r in langid.predict_language(table(spark, every), known, 60).collect()}
+    for i, t in enumerate(every):
+        top = plain_grams(t or "")[0][:60]
+        apart = {lang: sum(abs(at[g] - k) if g in at else 60 for k, g in enumerate(top)) for lang, at in total.items()}
+        lang = min(sorted(apart), key=apart.get) if top else "und"
+        assert got[i].lang_pred == lang and got[i].score == pytest.approx(1 - apart[lang] / (60 * len(top)) if top else 0)
+    monkeypatch.setattr(langid, "PIECE", 50)
+    for t in every:
+        codes, counts = langid.gram_counts(t or "")
+        assert {langid.gram_text(c): n for c, n in zip(codes.tolist(), counts.tolist(), strict=True)} == plain_grams(t or "")[1]
+
+
 def test_quality(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
