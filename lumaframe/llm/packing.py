@@ -6,7 +6,9 @@ a length in logarithmic time, and all bins with the same content are moved as on
 pieces of a length whose ranks lie in an interval go to a run of bins at an offset. Its size depends on the capacity, not on
 the documents. The rows then find their slot by their rank among the pieces of their length.
 
-Null and empty texts have the end id only. Repeated rows are packed each on its own. An empty table gives an empty result.
+Null and empty texts have the end id only. Repeated rows are packed each on its own. An empty table gives an empty result. Texts
+of any length are encoded whole. Pieces of one length are interchangeable: their ranks follow a hash of doc_id and piece, so ties
+change neither the number of sequences nor how full they are. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumaframe.llm.tokens import encoder
+from lumaframe.llm.words import texts_of
 from lumaframe.session import ship_code, stage
 
 #: Ranks are counted in so many rows at most (on average) for each length and bucket.
@@ -106,7 +109,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
         end = np.array([end_id], np.uint32)
         for batch in batches:
             row, out = [], ([], [], [], [], [])
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            for i, text in enumerate(texts_of(batch.column(1))):
                 ids = np.concatenate([enc.encode(text), end]).astype("<u4")
                 for k, a in enumerate(range(0, len(ids), capacity)):
                     part = ids[a : a + capacity]

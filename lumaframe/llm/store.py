@@ -6,12 +6,13 @@ the SHA-256 of its ids; a document keeps a recipe, the addresses of its chunks i
 a manifest keeps one Merkle root for each part of the recipes. Reading recomputes the address of each chunk that it reads, the
 roots of the documents and, before all else, the whole manifest.
 
-Folders under the store's path (Parquet): encoded (as first written), chunks (address, refs, payload), recipes (doc_id, part,
-n_tokens, recipe, root; parts follow ascending doc_id), manifest (part, n_docs, n_tokens, root).
+Folders under the store's path (Parquet): chunks (address, refs, payload), recipes (doc_id, part, n_tokens, recipe, root; parts
+follow ascending doc_id), manifest (part, n_docs, n_tokens, root). While it is written, encoded has all chunks as they come.
 A payload is one width byte (2 or 4) and the ids as little-endian unsigned integers of that width.
 
 Null and empty texts are documents with the end id only. Repeated rows are documents of their own (ties in doc_id follow
-the recipe). A null doc_id sorts first. An empty table gives an empty store. Other columns are not read.
+the recipe). A null doc_id sorts first. An empty table gives an empty store. Texts of any length are encoded whole. Other columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumaframe.llm.tokens import encoder
-from lumaframe.llm.words import mix
-from lumaframe.session import new_path, ship_code
+from lumaframe.llm.words import mix, texts_of
+from lumaframe.session import discard, new_path, ship_code
 
 WINDOW, MEAN, LEAST, MOST = 16, 1024, 256, 4096
 
@@ -124,7 +125,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
         end = np.array([end_id], np.uint32)
         for batch in batches:
             keys, lengths, recipes, payloads, roots = batch.column(0), [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in texts_of(batch.column(1)):
                 ids = np.concatenate([enc.encode(text), end])
                 cuts = cut_points(ids)
                 parts = [ids[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
@@ -160,6 +161,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
     )
 
     _sealed(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
+    discard(spark, f"{path}/encoded")
 
 
 def _sealed(recipes: DataFrame) -> DataFrame:

@@ -7,13 +7,14 @@ any other text goes through the library as a whole. Both ways give the same ids,
 
 from __future__ import annotations
 
+import gc
 import re
 from functools import cache
 
 import numpy as np
 
-#: A process keeps the ids of so many pre-tokens and of so many space-separated words at most, then starts again.
-CACHE_PIECES = 400_000
+#: A process keeps the ids of so many pre-tokens and of so many space-separated words, and of as many from before, at most.
+CACHE_PIECES = 250_000
 
 # ASCII and Latin-1 letters, the only letters and digits of plain texts, and the vocabularies' patterns over them.
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -29,26 +30,52 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _Pieces(dict):
+class _Cache(dict):
+    """Values by key; when it is full, those not asked for since it was last full are forgotten."""
+
+    def __init__(self) -> None:
+        self.old: dict[str, bytes] = {}
+
+    def make(self, key: str) -> bytes:
+        raise NotImplementedError
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def trim(self) -> None:
+        if len(self) > CACHE_PIECES:
+            self.old = dict(self)
+            self.clear()
+
+
+class _Pieces(_Cache):
+    """Ids of pre-tokens."""
+
     def __init__(self, tokenizer) -> None:
+        super().__init__()
+        table = _byte_characters()
+        # All characters of plain texts, as what stands for their bytes.
+        self.characters = {c: "".join(table[b] for b in chr(c).encode()) for c in range(256)}
+        self.raw = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
         self.model = tokenizer.model
-        self.table = _byte_characters()
 
-    def __missing__(self, piece: str) -> bytes:
-        mapped = "".join(map(self.table.__getitem__, piece.encode()))
-        value = self[piece] = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
-        return value
+    def make(self, piece: str) -> bytes:
+        return b"".join([self.raw[t.id] for t in self.model.tokenize(piece.translate(self.characters))])
 
 
-class _Words(dict):
-    """Ids of what stands between spaces, put together from its pre-tokens."""
+class _Words(_Cache):
+    """Ids of what stands between spaces, with the space before it in byte-level vocabularies, put together from its pre-tokens."""
 
-    def __init__(self, cut, pieces: _Pieces) -> None:
-        self.cut, self.pieces = cut, pieces
+    def __init__(self, cut, pieces: _Pieces, before: str) -> None:
+        super().__init__()
+        self.cut, self.pieces, self.before = cut, pieces, before
 
-    def __missing__(self, word: str) -> bytes:
-        value = self[word] = b"".join(map(self.pieces.__getitem__, self.cut(word)))
-        return value
+    def make(self, word: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.cut(self.before + word)))
 
 
 class Encoder:
@@ -61,25 +88,27 @@ class Encoder:
         self.by_word = bool(getattr(self.tokenizer.model, "end_of_word_suffix", None))
         self.cut = (_WORD if self.by_word else _BYTE).findall
         self.pieces = _Pieces(self.tokenizer)
-        self.words = _Words(self.cut, self.pieces)
+        self.words = _Words(self.cut, self.pieces, "" if self.by_word else " ")
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, np.uint32)
         if not _PLAIN.fullmatch(text) or "<|" in text:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        for kept in (self.pieces, self.words):
-            if len(kept) > CACHE_PIECES:
-                kept.clear()
+        self.pieces.trim()
+        self.words.trim()
         if self.by_word:
             found = map(self.words.__getitem__, text.lower().split())
         elif "  " in text or " \n" in text or "\n " in text or "\t" in text or "\r" in text:
             found = map(self.pieces.__getitem__, self.cut(text))
         else:
-            found = map(self.words.__getitem__, text.replace(" ", "\0 ").split("\0"))
+            words = text.split(" ")
+            words[0] = b"".join(map(self.pieces.__getitem__, self.cut(words[0])))
+            found = [words[0], *map(self.words.__getitem__, words[1:])]
         return np.frombuffer(b"".join(found), np.uint32)
 
 
 @cache
 def encoder(path: str) -> Encoder:
+    gc.set_threshold(100_000)  # the many short lists here hold no cycles
     return Encoder(path)
