@@ -1,48 +1,65 @@
 """Benchmark decontamination by size-partitioned MinHash containment search, verified by exact shingle containment.
 
-Test items are searched in blocks of a fixed number. Only a document's shingles that some item of the block has can count for
-containment, so its domain is that part of its set: nothing is lost, and long documents become short domains. Domains are
-partitioned by size. In each partition the containment threshold becomes a Jaccard threshold for each item size, and the
-number of rows to a band is the largest for which a pair at the threshold is missed with a chance below MISS; where no band
-layout reaches it, every item that shares a shingle is a candidate. Candidates are verified by exact containment.
+Test items are partitioned by the size of their shingle sets (powers of two), and each partition is divided into groups of
+GROUP items. Only a document's shingles that some item of a group has can count there, so that part of its set is its domain in
+the group: nothing is lost, and long documents become short domains. For a domain of at most u shingles and an item of q, the
+containment threshold t is a Jaccard threshold of t / (u / q + 1 - t); the rows to a band of their MinHash signatures are the
+most for which a pair at the threshold is missed with a chance below MISS. As a group's items are few and of like sizes, u / q
+has a bound and there always is such a layout. Items that share a band with the domain are candidates; only these are verified
+by counting the shingles that item and document share. So an item is missed with a chance of MISS at most, once in a billion.
 
 Items and documents are lower-cased (A-Z) words; shingles have five words. An item of 1 to 4 words is one shingle of its own
 length, looked up in every document's runs of that many words. Null, empty and wordless items and documents match nothing.
-Repeated rows are found each on its own; an item_id that comes twice counts as two items with one id. Empty tables give none.
+Texts of any length are read whole. Of repeated rows (one doc_id or item_id) the pair with the largest containment is given.
+Empty tables give none. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumaframe.llm.words import SHINGLE, grams, mix, word_hashes
+from lumaframe.llm.words import SHINGLE, grams, mix, texts_of, word_hashes
 from lumaframe.session import ship_code
 
 #: Items, and bytes of their texts, in a block; a block is what is sent to the executors at once.
 BLOCK_ITEMS, BLOCK_BYTES = 5_000, 8_000_000
-PERMUTATIONS, MISS = 256, 1e-6
+PERMUTATIONS, MISS = 256, 1e-9
+#: Items of a group, and the rows to a band to choose from.
+GROUP, ROWS = 4, (1, 2, 3, 4, 6, 8)
+_SEEDS = mix(np.arange(PERMUTATIONS, dtype=np.uint64), 1000)[:, None]
 
 
 def _signature(tokens: np.ndarray) -> np.ndarray:
-    return np.array([mix(tokens, 1000 + i).min() for i in range(PERMUTATIONS)], np.uint64)
+    found = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(tokens), 2048):
+        found = np.minimum(found, mix(tokens[None, a : a + 2048] ^ _SEEDS).min(axis=1))
+    return found
+
+
+def _bands(signatures: np.ndarray, rows: int) -> np.ndarray:
+    """Of each signature (the last axis) the values of its bands."""
+    n = PERMUTATIONS // rows
+    total = np.zeros((*signatures.shape[:-1], n), np.uint64)
+    for i in range(rows):
+        total = mix(total * np.uint64(31) + signatures[..., i : n * rows : rows], 9)
+    return total
 
 
-def _bands(signature: np.ndarray, rows: int) -> np.ndarray:
-    n = len(signature) // rows
-    total = np.arange(n, dtype=np.uint64)
-    for part in signature[: n * rows].reshape(n, rows).T:
-        total = mix(total * np.uint64(31) + part, 9)
-    return total
+def band_rows(size: int, upper: int, percent: int) -> int:
+    """The most rows to a band for items of a size and domains of up to upper shingles."""
+    t = percent / 100
+    least = t / (max(upper, t * size) / size + 1 - t)
+    fine = [r for r in ROWS if (1 - least**r) ** (PERMUTATIONS // r) <= MISS]
+    return max(fine) if fine else 1
 
 
 class ItemIndex:
-    """One block of items: their shingles, who has which, and the bands of their MinHash signatures."""
+    """One block of items: their shingles, the groups, and the bands of their MinHash signatures."""
 
     def __init__(self, ids: list, texts: list[str], percent: int) -> None:
         self.ids, self.percent = ids, percent
@@ -50,84 +67,80 @@ class ItemIndex:
         self.orders = sorted({min(SHINGLE, len(h)) for h in hashes if len(h)})
         sets = [np.unique(grams(h, min(SHINGLE, len(h)))) if len(h) else np.empty(0, np.uint64) for h in hashes]
         self.sizes = np.array([len(s) for s in sets], np.int64)
-        every = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-        self.tokens, inverse = np.unique(every, return_inverse=True)
-        self.owners = np.repeat(np.arange(len(sets)), self.sizes)[np.argsort(inverse, kind="stable")]
-        self.starts = np.searchsorted(np.sort(inverse), np.arange(len(self.tokens) + 1))
-        self.signatures = [_signature(s) if len(s) else None for s in sets]
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.choices: dict[int, np.ndarray] = {}
-
-    def rows_for(self, size_class: int) -> np.ndarray:
-        """For each item the rows to a band in the partition of domains of up to 2 ** size_class shingles; 0: no layout will do."""
-        if size_class not in self.choices:
-            t, upper = self.percent / 100, 2.0**size_class
-            sizes = np.maximum(self.sizes, 1)
-            least = t / (np.maximum(upper, t * sizes) / sizes + 1 - t)
-            best = np.zeros(len(sizes), np.int64)
-            for rows in (1, 2, 3, 4, 6, 8):
-                best[(1 - least**rows) ** (PERMUTATIONS // rows) <= MISS] = rows
-            self.choices[size_class] = best
-        return self.choices[size_class]
-
-    def table(self, rows: int) -> tuple[np.ndarray, np.ndarray]:
-        """All items' band values, sorted, and whose they are."""
-        if rows not in self.tables:
-            have = [i for i, s in enumerate(self.signatures) if s is not None]
-            values = [_bands(self.signatures[i], rows) for i in have]
-            flat, who = np.concatenate(values), np.repeat(have, [len(v) for v in values])
-            order = np.argsort(flat, kind="stable")
-            self.tables[rows] = flat[order], who[order]
-        return self.tables[rows]
+        self.tokens = np.unique(np.concatenate(sets)) if sets else np.empty(0, np.uint64)
+        self.parts = [np.searchsorted(self.tokens, s) for s in sets]
+        by_class: dict[int, list[int]] = {}
+        for i in np.argsort(self.sizes, kind="stable").tolist():
+            if self.sizes[i]:
+                by_class.setdefault((int(self.sizes[i]) - 1).bit_length(), []).append(i)
+        self.groups = [items[a : a + GROUP] for items in by_class.values() for a in range(0, len(items), GROUP)]
+        words = [np.unique(np.concatenate([self.parts[i] for i in group])) for group in self.groups]
+        self.words = [len(w) for w in words]  # no domain in the group is larger
+        every = np.concatenate(words) if words else np.empty(0, np.int64)
+        order = np.argsort(every, kind="stable")
+        self.owners = np.repeat(np.arange(len(words)), self.words)[order]
+        self.starts = np.searchsorted(every[order], np.arange(len(self.tokens) + 1))
+        self.signatures: dict[int, np.ndarray] = {}
+        self.tables: dict[tuple[int, int], np.ndarray] = {}
+
+    def table(self, item: int, rows: int) -> np.ndarray:
+        if (item, rows) not in self.tables:
+            if item not in self.signatures:
+                self.signatures[item] = _signature(self.tokens[self.parts[item]])
+            self.tables[item, rows] = _bands(self.signatures[item], rows)
+        return self.tables[item, rows]
 
     def search(self, text: str | None) -> list[tuple[int, int]]:
         """(item number, shared shingles) of the items that the text contains."""
         hashes = word_hashes(text)
         if not len(hashes) or not len(self.tokens):
             return []
-        found = [grams(hashes, k) for k in self.orders]
-        found = np.concatenate(found)
+        found = np.concatenate([grams(hashes, k) for k in self.orders])
         at = np.searchsorted(self.tokens, found)
         at[at == len(self.tokens)] = 0
         at = np.unique(at[self.tokens[at] == found])
         if not len(at):
             return []
-        owners = np.concatenate([self.owners[self.starts[i] : self.starts[i + 1]] for i in at])
-        shared = np.bincount(owners, minlength=len(self.ids))
-        rows = self.rows_for(int(np.ceil(np.log2(len(at)))) if len(at) > 1 else 0)
-        candidate = (rows == 0) & (shared > 0)
-        signature = _signature(self.tokens[at])
-        for r in np.unique(rows[rows > 0]):
-            values, who = self.table(int(r))
-            bands = _bands(signature, int(r))
-            lo, hi = np.searchsorted(values, bands, "left"), np.searchsorted(values, bands, "right")
-            hit = lo < hi
-            if hit.any():
-                near = np.unique(np.concatenate([who[a:b] for a, b in zip(lo[hit], hi[hit], strict=True)]))
-                candidate[near[rows[near] == r]] = True
-        passed = candidate & (self.sizes > 0) & (100 * shared >= self.percent * self.sizes)
-        return [(int(i), int(shared[i])) for i in np.flatnonzero(passed)]
+        count = self.starts[at + 1] - self.starts[at]
+        group = np.concatenate([self.owners[self.starts[i] : self.starts[i + 1]] for i in at])
+        order = np.argsort(group, kind="stable")
+        group, token = group[order], np.repeat(at, count)[order]
+        edges = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
+        out = []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            domain = token[a:b]
+            signature, upper = _signature(self.tokens[domain]), min(1 << (len(domain) - 1).bit_length(), self.words[group[a]])
+            bands: dict[int, np.ndarray] = {}
+            for i in self.groups[group[a]]:
+                rows = band_rows(int(self.sizes[i]), upper, self.percent)
+                if rows not in bands:
+                    bands[rows] = _bands(signature, rows)
+                if (bands[rows] == self.table(i, rows)).any():  # a candidate
+                    shared = len(np.intersect1d(self.parts[i], domain, assume_unique=True))
+                    if 100 * shared >= self.percent * self.sizes[i]:
+                        out.append((i, shared))
+        return out
 
 
 def blocks(items: DataFrame) -> Iterator[tuple[list, list[str]]]:
     """The items in blocks of bounded size; no more than one block is held on the driver."""
-    rows = items.where(F.col("text").isNotNull()).select("item_id", "text").toLocalIterator()
-    while block := list(islice(rows, BLOCK_ITEMS)):
-        ids, texts, size = [], [], 0
-        for r in block:
-            if ids and size + len(r["text"]) > BLOCK_BYTES:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-            ids.append(r["item_id"])
-            texts.append(r["text"])
-            size += len(r["text"])
+    ids, texts, size = [], [], 0
+    for r in items.where(F.col("text").isNotNull()).select("item_id", "text").toLocalIterator():
+        more = len(r["text"].encode("utf-8", "surrogatepass"))
+        if ids and (len(ids) == BLOCK_ITEMS or size + more > BLOCK_BYTES):
+            yield ids, texts
+            ids, texts, size = [], [], 0
+        ids.append(r["item_id"])
+        texts.append(r["text"])
+        size += more
+    if ids:
         yield ids, texts
 
 
 def contained_items(docs: DataFrame, items: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, item_id, n_item, n_shared, containment of every item (item_id, text) that a document (doc_id, text) contains.
 
-    One scan of the documents for each block of items.
+    One scan of the documents for each block of items. Only pairs found are moved.
     """
     spark = docs.sparkSession
     ship_code(spark)
@@ -141,7 +154,7 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = 75) -> Dat
             index = ItemIndex(*sent.value, percent)
             for batch in batches:
                 row, out = [], ([], [], [], [])
-                for i, text in enumerate(batch.column(1).to_pylist()):
+                for i, text in enumerate(texts_of(batch.column(1))):
                     for item, shared in index.search(text):
                         row.append(i)
                         size = int(index.sizes[item])
@@ -153,4 +166,7 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = 75) -> Dat
 
         part = docs.select("doc_id", "text").mapInArrow(search, schema)
         found = part if found is None else found.unionByName(part)
-    return spark.createDataFrame([], schema) if found is None else found
+    if found is None:
+        return spark.createDataFrame([], schema)
+    best = F.max(F.struct("containment", "n_shared", "n_item")).alias("x")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.n_item", "x.n_shared", "x.containment")
