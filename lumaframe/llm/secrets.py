@@ -1,23 +1,26 @@
 """Secret scan in DataFrame functions only: three fixed patterns and a battery of randomness tests.
 
 The patterns give the spans of kind assign, access and hex. The battery adds spans of kind random: every other run of 20 or
-more characters of an encoding's alphabet that is too random to be a word. Per run, the encoding is inferred (decimal, hex,
-base32, letters and digits in base64), then
-- chi-squared of the alphabet's uniformity: a low value is improbable if letters come as unevenly as in language (for base32 and
-  base64 only: an alphabet of 16 letters or fewer is expected to look uniform in language too),
-- a runs test on character classes: many changes between classes are improbable in language,
-- serial correlation of neighbouring codes: counters and alphabets in order are too regular and are let go.
-So hex runs outside the fixed pattern have the runs test only, and decimal runs, of one class, have neither: those of 20 to 23
-digits are never found (from 24 on they are of kind hex).
-The first two p-values are combined (Fisher). Over all runs of all texts, false discoveries are controlled by the
+more characters of an encoding's alphabet that is too random to be a word or a number that someone wrote. Per run, the encoding is
+inferred (decimal, hex, base32, letters and digits in base64), and three tests give p-values under the encoding's null model:
+- chi-squared of the alphabet's uniformity: a low value is improbable if characters come as unevenly as in language, or, for
+  digits, as in written numbers with their zeros and repeats,
+- a runs test on character classes (for decimals, the low and the high digits): many changes between classes are improbable,
+- serial correlation of neighbouring codes: counters, repeated and ordered characters correlate strongly, a value near 0 is
+  improbable for them; where it is too large for chance, the run is let go at once.
+The p-values are combined (Fisher, six degrees of freedom). Over all runs of all texts, false discoveries are controlled by the
 Benjamini-Hochberg rule within each class of lengths, for short runs are many and have little power. Only the counts of
 p-values by length class and bin reach the driver, a fixed number of them at most.
 
-A null text is empty: no spans, the digest of an empty list. Repeated rows are scanned each. Positions count code points.
+A null text is empty: no spans, the digest of an empty list. Repeated rows are scanned each. Positions count code points. Texts
+of any length are scanned whole; sums over their matches are made block by block, so no array grows match by match. An empty table
+gives an empty result. redact() keeps all columns and their order, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,32 +32,63 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN_LEAST = 6
 
 RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"
-#: Encodings in order of inference: pattern, alphabet.
+#: Encodings in order of inference: pattern, alphabet, and under the null model the chance that two characters are equal and
+#: that neighbours differ in class.
 ENCODINGS = (
-    (r"^[0-9]+$", "0123456789"),
-    (r"^[0-9a-fA-F]+$", "0123456789abcdef"),
-    (r"^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
-    (r"^.*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"),
+    (r"^[0-9]+$", "0123456789", 0.16, 0.35),
+    (r"^[0-9a-fA-F]+$", "0123456789abcdef", 0.11, 0.2),
+    (r"^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.06, 0.12),
+    (r"^.*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 0.06, 0.12),
 )
-#: In language, the chance that two letters are equal, and that neighbours differ in class.
-COINCIDENCE, CHANGES = 0.06, 0.12
+#: Standard deviation of the serial correlation's z under the null model, and the |z| beyond which a run is let go.
+SERIAL, REGULAR = 2.5, 3.5
+#: Matches of a text that are summed together.
+BLOCK = 64
 LENGTH_CLASSES = (20, 28, 40, 64, 128)
 #: False discoveries among the runs taken, p-values in bins of so many to a power of ten, and the last bin.
 RATE, BINS, LAST_BIN = 0.01, 20, 400
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _running(values: Column, add: Callable[[Column, Column], Column], zero: int) -> Column:
+    """For each of an array's ints the total (by add) of those before it: blocks first, then inside the blocks."""
+    total = lambda x: F.aggregate(x, F.lit(zero), add)
+
+    def inside(block: Column, before: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(block) - 1), lambda i: add(before, total(F.slice(block, 1, i))))
+
+    def of(values: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda k: F.slice(values, k * BLOCK + 1, BLOCK))
+        return _let(blocks, lambda b: _let(F.transform(b, total), lambda sums: F.flatten(F.transform(b, lambda x, k: inside(x, total(F.slice(sums, 1, k)))))))
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, of(v)).otherwise(F.expr("cast(array() as array<int>)")))
+
+
+def _add(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _larger(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def _smaller(a: Column, b: Column) -> Column:
+    return F.least(a, b)
+
+
 def _spans(matches: Column, gaps: Column, kind: str) -> Column:
     """(start, order, end, kind, match) of each match, from the matches and what stands between them."""
-    ends = F.aggregate(
-        F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m"), m.alias("text"))),
-        F.struct(F.lit(0).alias("pos"), F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string,text:string>>)").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["pos"] + x["g"] + x["m"]).alias("pos"),
-            F.concat(acc["out"], F.array(F.struct((acc["pos"] + x["g"]).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (acc["pos"] + x["g"] + x["m"]).alias("end"), F.lit(kind).alias("kind"), x["text"].alias("text")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return ends
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m"), m.alias("text")))
+
+    def placed(x: Column, before: Column) -> Column:
+        start = before + x["g"]
+        return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (start + x["m"]).alias("end"), F.lit(kind).alias("kind"), x["text"].alias("text"))
+
+    return _let(pairs, lambda p: F.zip_with(p, _running(F.transform(p, lambda x: x["g"] + x["m"]), _add, 0), placed))
 
 
 def _found(text: Column, pattern: str, kind: str) -> Column:
@@ -76,35 +110,37 @@ def _lower_tail(z: Column) -> Column:
 def _score(run: Column) -> Column:
     """-log10 of the combined p-value of a run being language, in bins; -1 if the serial correlation shows a regular sequence."""
     body = F.regexp_replace(run, "=+$", "")
-    alphabet = F.lit(ENCODINGS[-1][1])
-    for pattern, letters in reversed(ENCODINGS[:-1]):
-        alphabet = F.when(body.rlike(pattern), F.lit(letters)).otherwise(alphabet)
+    model = F.struct(*(F.lit(x) for x in ENCODINGS[-1][1:]))
+    for pattern, *values in reversed(ENCODINGS[:-1]):
+        model = F.when(body.rlike(pattern), F.struct(*(F.lit(x) for x in values))).otherwise(model)
     plain = F.when(body.rlike(ENCODINGS[1][0]), F.lower(body)).otherwise(body)
-    classes = F.translate(body, ENCODINGS[-1][1], "A" * 26 + "a" * 26 + "0" * 10 + "+" * 4)
+    halves = F.translate(body, ENCODINGS[0][1], "0" * 5 + "5" * 5)
+    classes = F.when(body.rlike(ENCODINGS[0][0]), halves).otherwise(F.translate(body, ENCODINGS[-1][1], "A" * 26 + "a" * 26 + "0" * 10 + "+" * 4))
 
-    def battery(codes: Column, letters: Column, kinds: Column) -> Column:
+    def battery(codes: Column, letters: Column, coincidence: Column, expected_changes: Column, kinds: Column) -> Column:
         n, k = F.size(codes).cast("double"), F.length(letters)
         counts = F.transform(F.sequence(F.lit(1), k), lambda s: F.size(F.filter(codes, lambda c: c == s)).cast("double"))
         squares = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c)
         chi = k * squares / n - n
-        # In language chi-squared is larger by n * (k * coincidence - 1); its spread follows from that of pairs and of letters.
-        expected = (n - 1) * (k * COINCIDENCE - 1) + k - 1
+        # Under the null model chi-squared is larger by n * (k * coincidence - 1); its spread follows from that of pairs and of letters.
+        expected = (n - 1) * (k * coincidence - 1) + k - 1
         pairs = n * (n - 1) / 2
-        spread = 2 * k / n * F.sqrt(pairs * COINCIDENCE * (1 - COINCIDENCE) + F.pow(n, F.lit(3.0)) * 0.0017)
-        by_chi = F.when(k > 1 / COINCIDENCE, _lower_tail((chi - expected) / spread)).otherwise(1.0)
+        spread = 2 * k / n * F.sqrt(pairs * coincidence * (1 - coincidence) + F.pow(n, F.lit(3.0)) * 0.0017)
+        by_chi = _lower_tail((chi - expected) / spread)
         changes = F.aggregate(F.sequence(F.lit(2), F.size(kinds)), F.lit(0.0), lambda a, i: a + (F.element_at(kinds, i) != F.element_at(kinds, i - 1)).cast("double"))
-        by_runs = _lower_tail(((n - 1) * CHANGES + 0.5 - changes) / F.sqrt((n - 1) * CHANGES * (1 - CHANGES)))
+        by_runs = _lower_tail(((n - 1) * expected_changes + 0.5 - changes) / F.sqrt((n - 1) * expected_changes * (1 - expected_changes)))
         mean = F.aggregate(codes, F.lit(0.0), lambda a, c: a + c) / n
         power = F.aggregate(codes, F.lit(0.0), lambda a, c: a + (c - mean) * (c - mean))
         serial = F.aggregate(F.sequence(F.lit(2), F.size(codes)), F.lit(0.0), lambda a, i: a + (F.element_at(codes, i) - mean) * (F.element_at(codes, i - 1) - mean))
-        regular = (power == 0) | (F.abs(serial / power) * F.sqrt(n) > 3.5)
-        fisher = -F.log(F.greatest(by_chi, F.lit(1e-300))) - F.log(F.greatest(by_runs, F.lit(1e-300)))
-        log10 = (fisher - F.log(1 + fisher)) / 2.302585093
-        return F.when(regular, F.lit(-1)).otherwise(F.least(F.floor(log10 * BINS), F.lit(LAST_BIN)).cast("int"))
+        z = F.abs(serial / F.greatest(power, F.lit(1e-9))) * F.sqrt(n)
+        by_serial = F.greatest(2 * _lower_tail(z / SERIAL) - 1, F.lit(1e-3))
+        fisher = sum((-F.log(F.greatest(p, F.lit(1e-300))) for p in (by_chi, by_runs, by_serial)), F.lit(0.0))
+        log10 = _let(fisher, lambda x: (x - F.log(1 + x + x * x / 2)) / 2.302585093)
+        return F.when((power == 0) | (z > REGULAR), F.lit(-1)).otherwise(F.least(F.floor(log10 * BINS), F.lit(LAST_BIN)).cast("int"))
 
-    codes = F.transform(F.split(plain, ""), lambda c: F.position(c, alphabet))
-    inputs = F.array(F.struct(codes.alias("codes"), alphabet.alias("letters"), F.split(classes, "").alias("kinds")))
-    return F.element_at(F.transform(inputs, lambda x: battery(x["codes"], x["letters"], x["kinds"])), 1)
+    codes = lambda m: F.transform(F.split(plain, ""), lambda c: F.position(c, m["col1"]))
+    inputs = _let(model, lambda m: F.struct(codes(m).alias("codes"), m.alias("model"), F.split(classes, "").alias("kinds")))
+    return _let(inputs, lambda x: battery(x["codes"], x["model"]["col1"], x["model"]["col2"], x["model"]["col3"], x["kinds"]))
 
 
 def _length_class(n: Column) -> Column:
@@ -131,16 +167,31 @@ def thresholds(docs: DataFrame) -> dict[int, int]:
     return taken
 
 
-def with_spans(docs: DataFrame, lowest: dict[int, int] | None = None) -> DataFrame:
-    """docs and a column spans: all spans as (start, rank, end, kind), sorted by start and kind."""
+def _free(base: Column, more: Column) -> Column:
+    """Those of more that overlap none of base; both sorted by start. What overlaps a span begins before its end, or ends after its start."""
+    every = F.array_sort(F.concat(F.transform(base, lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("more"), s.alias("span"))), F.transform(more, lambda s: F.struct(s["start"].alias("start"), F.lit(1).alias("more"), s.alias("span")))))
+    last, never = F.lit(0), F.lit(2**31 - 1)
+
+    def kept(every: Column) -> Column:
+        ended = _running(F.transform(every, lambda x: F.when(x["more"] == 0, x["span"]["end"]).otherwise(last)), _larger, 0)
+        begins = F.reverse(_running(F.reverse(F.transform(every, lambda x: F.when(x["more"] == 0, x["start"]).otherwise(never))), _smaller, 2**31 - 1))
+        sides = F.zip_with(ended, begins, lambda e, b: F.struct(e.alias("ended"), b.alias("begins")))
+        free = F.zip_with(every, sides, lambda x, y: F.when((x["more"] == 1) & (y["ended"] <= x["start"]) & (y["begins"] >= x["span"]["end"]), x["span"]))
+        return F.filter(free, lambda s: s.isNotNull())
+
+    return F.when((F.size(base) == 0) | (F.size(more) == 0), more).otherwise(_let(every, kept))
+
+
+def with_spans(docs: DataFrame, lowest: dict[int, int] | None = None, column: str = "spans") -> DataFrame:
+    """docs and one more column: all spans as (start, rank, end, kind), sorted by start and kind."""
     lowest = thresholds(docs) if lowest is None else lowest
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.array_sort(F.transform(F.concat(*(_found(text, p, k) for p, k in ((ASSIGN, "assign"), (ACCESS, "access"), (HEX, "hex")))), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
     least = F.lit(LAST_BIN + 1)
     taken = F.filter(_candidates(text), lambda s: s["bin"] >= _lowest(s["size"], lowest, least))
-    placed = docs.withColumns({"_lf_base": base, "_lf_more": F.transform(taken, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))})
-    free = F.filter("_lf_more", lambda s: ~F.exists("_lf_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return placed.withColumn("spans", F.array_sort(F.concat("_lf_base", free))).drop("_lf_base", "_lf_more")
+    more = F.transform(taken, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
+    placed = docs.withColumns({"_lf_base": base, "_lf_more": more})
+    return placed.withColumn(column, F.array_sort(F.concat("_lf_base", _free(F.col("_lf_base"), F.col("_lf_more"))))).drop("_lf_base", "_lf_more")
 
 
 def _lowest(size: Column, lowest: dict[int, int], otherwise: Column) -> Column:
@@ -167,13 +218,26 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span of its texts replaced by the mark; null texts stay null."""
-    found = with_spans(docs)
+    """docs with every span of its texts replaced by the mark, spans that overlap by one; null texts stay null."""
+    found = with_spans(docs, column="_lf_spans")
     text = F.col("text")
-    cut = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(s["start"] >= acc["pos"], F.concat(acc["out"], F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"]), F.lit(mark))).otherwise(acc["out"]).alias("out")),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))),
-    )
-    return found.withColumn("text", F.when(F.size("spans") > 0, cut).otherwise(text)).drop("spans")
+
+    def pieces(groups: Column) -> Column:
+        """What stands before each group and after the last: large pieces are cut from the text, small ones from these."""
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(groups) - 1) / BLOCK).cast("int")), lambda k: F.slice(groups, k * BLOCK + 1, BLOCK))
+
+        def cut(block: Column) -> Column:
+            begin = block[0]["from"]
+            whole = F.substring(text, begin + 1, F.element_at(block, -1)["upto"] - begin)
+            return _let(whole, lambda w: F.transform(block, lambda g: F.substring(w, g["from"] - begin + 1, g["upto"] - g["from"])))
+
+        return F.array_join(F.flatten(F.transform(blocks, cut)), mark)
+
+    def clean(spans: Column) -> Column:
+        # A group begins where all spans before have ended; before it stands what follows their ends.
+        ended = _running(F.transform(spans, lambda s: s["end"]), _larger, 0)
+        groups = F.filter(F.zip_with(spans, ended, lambda s, e: F.struct(e.alias("from"), s["start"].alias("upto"))), lambda g: g["upto"] >= g["from"])
+        after = F.array(F.struct(F.array_max(F.transform(spans, lambda s: s["end"])).alias("from"), F.length(text).alias("upto")))
+        return _let(F.concat(groups, after), pieces)
+
+    return found.withColumn("text", F.when(F.size("_lf_spans") > 0, clean(F.col("_lf_spans"))).otherwise(text)).select(*docs.columns)

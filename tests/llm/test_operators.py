@@ -278,6 +278,63 @@ def test_secrets(spark):
     assert clean[0] is None and clean[1] == "" and clean[3].endswith("[SECRET] donaudampfschifffahrtsgesellschaft")
 
 
+def test_secrets_found_by_randomness(spark):
+    """Planted keys of each encoding among language, counters and written numbers; Benjamini-Hochberg against a plain version."""
+    import base64
+
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice(["the", "er", "on", "an", "th", "is", "ing"]) for _ in range(9))
+    keys = {
+        "base64": [base64.b64encode(rng.randbytes(45)).decode() for _ in range(12)],
+        "base32": [base64.b32encode(rng.randbytes(40)).decode() for _ in range(12)],
+        "hex": [rng.randbytes(48).hex().upper() for _ in range(12)],
+        "decimal": [str(rng.randrange(10**139, 10**140)) for _ in range(12)],
+    }
+    plain = [word() for _ in range(150)] + ["0123456789" * 5, "abcdefghijklmnopqrstuvwxyz" * 2, "A" * 60, "AB" * 40, "10000000000000000200", "internationalization-of-communications"]
+    every = [k for some in keys.values() for k in some] + plain
+    docs = table(spark, [f"see {x} here" for x in every])
+    got = {r.doc_id: r.spans for r in secrets.scan(docs).collect()}
+    for i, x in enumerate(every[:36]):
+        assert got[i] == f"random:4:{4 + len(x.rstrip('=')) + len(x) - len(x.rstrip('='))}", x
+    # A decimal run of 24 digits or more is a base span.
+    assert all(got[i] == "hex:4:144" for i in range(36, 48))
+    assert not any("random" in got[i] for i in range(48, len(every)))
+    bins = [(r.size, r.bin) for r in docs.select(F.explode(secrets._candidates(F.col("text"))).alias("r")).select("r.size", "r.bin").collect()]
+    want = {}
+    for size in {s for s, _ in bins}:
+        p = sorted(10 ** (-b / secrets.BINS) for s, b in bins if s == size)
+        taken = [x for k, x in enumerate(p, 1) if x <= secrets.RATE * k / len(p)]
+        if taken and min(b for s, b in bins if s == size and 10 ** (-b / secrets.BINS) <= taken[-1]) > 0:
+            want[size] = min(b for s, b in bins if s == size and b >= 0 and 10 ** (-b / secrets.BINS) <= taken[-1])
+    assert secrets.thresholds(docs) == want
+    decimals = [b for s, b in docs.where("doc_id between 36 and 47").select(F.explode(secrets._candidates(F.col("text"))).alias("r")).select("r.size", "r.bin").collect()]
+    assert min(decimals) > 0
+
+
+def test_secrets_in_long_texts(spark):
+    """Thousands of spans, at block borders too, overlapping ones, columns that clash."""
+    rng = random.Random(22)
+    parts = [rng.choice([rng.randbytes(12).hex(), "password=" + rng.randbytes(13).hex(), "token:AKIA" + "Z" * 20, "word", "é😀", "AKIA" + "Q" * 16]) for _ in range(4000)]
+    texts = [" ".join(parts), " ".join(parts[:64]), " ".join(parts[:65]), "x " * 100_000, None, ""]
+    docs = spark.createDataFrame([(i, t, "s", 0, "y") for i, t in enumerate(texts)], "doc_id long, text string, spans string, n int, _spans string")
+    got = {r.doc_id: r for r in secrets.scan(docs).collect()}
+    clean = {r.doc_id: r for r in secrets.redact(docs).collect()}
+    for i, t in enumerate(texts):
+        t = t or ""
+        base = sorted([(m.start(), 0, "assign", m.end()) for m in re.finditer(secrets.ASSIGN, t, re.A) if len(m[2]) >= 6] + [(m.start(), 1, "access", m.end()) for m in re.finditer(secrets.ACCESS, t)] + [(m.start(), 2, "hex", m.end()) for m in re.finditer(secrets.HEX, t)])
+        assert got[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in base).encode()).hexdigest()
+        spans = [tuple(map(int, x.split(":")[1:])) for x in got[i].spans.split(",") if x]
+        found = {tuple(map(int, x.split(":")[1:])) for x in got[i].spans.split(",") if x.startswith("random")}
+        assert not any(a < y and x < b for a, b in found for x, _, _, y in base[:500])
+        out, pos = [], 0
+        for a, b in spans:
+            if a >= pos:
+                out += [t[pos:a], "[SECRET]"]
+            pos = max(pos, b)
+        assert clean[i].text == (texts[i] and "".join(out) + t[pos:]) and clean[i].spans == "s" and clean[i].asDict().keys() == set(docs.columns)
+    assert secrets.scan(docs.limit(0)).count() == secrets.redact(docs.limit(0)).count() == 0
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((400, 24))
