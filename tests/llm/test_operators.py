@@ -349,6 +349,48 @@ def test_neighbours(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_neighbours_scores_ranks_recall(spark):
+    """Whole result against brute force: score, rank, ties, repeated ids, vectors of all lengths; several tiles and query blocks."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((5000, 16)) * rng.choice([0.1, 1, 3], (5000, 1))
+    x[100:140] = x[7]  # ties
+    for factor, blocks in ((1.0, 100), (1e25, 2048), (1e-140, 2048)):
+        ann_block, ann.BLOCK = ann.BLOCK, blocks
+        y = x * factor
+        rows = [(i, y[i].tolist(), 1.0) for i in range(len(y))] + [(20, y[3].tolist(), 0.0), (60, y[7].tolist(), 0.0)]
+        got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score double").repartition(3)).collect()
+        ann.BLOCK = ann_block
+        ids, every = np.append(np.arange(len(y)), [20, 60]), np.vstack([y, y[3], y[7]])
+        by, found = {}, 0
+        for r in got:
+            by.setdefault(r.query_id, []).append(r)
+        assert set(by) == set(range(0, 5000, 20))
+        for q, rs in by.items():
+            rs.sort(key=lambda r: r.rank)
+            assert [r.rank for r in rs] == list(range(1, 21)) and all(a.score > b.score or a.score == b.score and a.vec_id <= b.vec_id for a, b in zip(rs, rs[1:], strict=False))
+            own = min(y[q].tolist(), every[ids == q][-1].tolist())
+            score = every @ np.array(own)
+            for r in rs:
+                assert np.isclose(score[ids == r.vec_id], r.score, rtol=1e-12, atol=0).any()
+            want = Counter(i for _, i in sorted((-s, i) for s, i in zip(score, ids, strict=True) if i != q)[:20])
+            found += sum((want & Counter(r.vec_id for r in rs)).values())
+        assert found >= 0.99 * 20 * len(by)
+    one = [(i, v.tolist()) for i, v in enumerate(x[:60] * 1e150)] + [(100, [1.0] * 16)]
+    assert len(ann.nearest(spark.createDataFrame([*one[:30], (31, (x[0] * 1e-10).tolist()), *one[32:]], "vec_id long, embedding array<double>")).where("query_id = 20").collect()) == 20
+
+
+def test_estimates_are_unbiased_within_bounds():
+    rng = np.random.default_rng(4)
+    x, q = rng.standard_normal((2000, 32)), rng.standard_normal((50, 32))
+    centre, turn = x.mean(axis=0), ann.rotation(32)
+    code, size, fit = ann.encode(x, centre, turn)
+    assert code.dtype == np.uint64 and code.shape == (2000, ann.BITS * 32 // 64)
+    queries = ann.Queries(q, centre, turn)
+    error = queries.offset[:, None] + queries.products(code, slice(0, 50)) * (size / fit / np.sqrt(ann.BITS * 32)) - q @ x.T
+    loose = size * np.sqrt(1 - fit * fit) / fit / np.sqrt(ann.BITS * 32 - 1) * queries.length[:, None]
+    assert abs((error / loose).mean()) < 0.05 and (np.abs(error) < ann.EPSILON * loose).mean() > 0.99
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "Hello world\nhow are you"), (1, 1, None, "fine\nand you?"), (1, 2, "user", "> Hello   World\n> how are you\nto the first"), (1, 3, "a", "X wrote:\n>> hello world how are you\n> to the FIRST\ndeep"), (1, 4, "u", "> unknown\nlast"), (2, 0, "u", None), (1, 0, "user", "Hello world\nhow are you")]
     got = {(r.conv_id, r.turn): r for r in chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
