@@ -1,4 +1,4 @@
-"""Chat formatting by quotation linking, in DataFrame functions.
+"""Chat formatting by quotation linking: DataFrame functions, and the reply order of each conversation's numbers in Python.
 
 A line that begins with `>` marks is quoted; the number of marks is its level. Neighbouring lines of one level form a passage.
 Passages are normalised (marks off, A-Z lower-cased, white space runs to one blank) and hashed. A quoted passage is joined to
@@ -13,14 +13,23 @@ A null or empty text is a message without content. Lines like "On ... wrote:" th
 equal in conv_id, turn, role and text count once; other messages of one turn are all kept, as siblings in the order of role and
 text. None of them links to another by a quote, and what comes after them without a linked quote replies to the last one. A null
 turn comes before all others. A message with a null conv_id is a conversation of its own. A message that quotes itself or a later
-one isn't linked by that. Null roles are "user".
+one isn't linked by that. Null roles are "user". Texts of any length are read whole. An empty table gives an empty result. Other
+columns are not read, whatever their names.
+
+A conversation is a unit: what is held of it in one task is 24 bytes a message.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumaframe.session import ship_code
+
 MARKS = r"^[ \t]*((?:>[ \t]?)*)"
 INTRODUCES = r"(?i)^[ \t]*(on\b.{0,200}\bwrote:|.{1,80}\bwrote:)[ \t]*$"
 
@@ -104,23 +113,53 @@ def replies(messages: DataFrame) -> DataFrame:
     )
 
 
-def conversations(messages: DataFrame) -> DataFrame:
-    """The messages with reply_to (a turn) and position: the place (from 0) in the conversation's reply order, every message after what it replies to.
+def preorder(parent: np.ndarray) -> np.ndarray:
+    """Place of each message in reply order: after the one it replies to (an earlier one, -1 for none), siblings as they come."""
+    n, above = len(parent), parent.tolist()
+    size, place = [1] * n, [0] * n
+    for i in range(n - 1, -1, -1):
+        if above[i] >= 0:
+            size[above[i]] += size[i]
+    begin, free = 0, [0] * n  # where the next root, and the next reply to a message, goes
+    for i, p in enumerate(above):
+        if p < 0:
+            place[i], begin = begin, begin + size[i]
+        else:
+            place[i], free[p] = free[p], free[p] + size[i]
+        free[i] = place[i] + 1
+    return np.array(place, np.int64)
+
+
+def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """c, n, position, reply_to of rows (c, n, parent, turn) sorted by c and n; the numbers of one conversation are held, not its texts."""
+
+    def placed(kept: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(kept).combine_chunks()
+        parent = table["parent"].combine_chunks().fill_null(0).to_numpy().astype(np.int64) - 1
+        answered = table["turn"].combine_chunks().take(pa.array(parent, mask=parent < 0))
+        columns = [table["c"].combine_chunks(), table["n"].combine_chunks(), pa.array(preorder(parent)), answered]
+        return pa.RecordBatch.from_arrays(columns, names=["c", "n", "position", "reply_to"])
+
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        begins = [0, *(i for i, n in enumerate(batch.column(1).to_numpy().tolist()) if n == 1 and i), batch.num_rows]
+        for a, b in zip(begins, begins[1:], strict=False):
+            part = batch.slice(a, b - a)
+            if kept and part.column(1)[0].as_py() == 1:
+                yield placed(kept)
+                kept = []
+            kept.append(part)
+    if kept:
+        yield placed(kept)
 
-    A message's path is the numbers from the conversation's first message down to it; sorting the paths is the reply order. A
-    conversation's messages come together in one array, from which the paths are built message by message.
-    """
+
+def conversations(messages: DataFrame) -> DataFrame:
+    """The messages with reply_to (a turn) and position: the place (from 0) in the conversation's reply order, every message after what it replies to."""
+    ship_code(messages.sparkSession)
     flat = replies(messages)
-    key = lambda n: F.lpad(n.cast("string"), 10, "0")
-    tree = flat.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("n", "parent", "turn"))).alias("m"))
     turn = flat.schema["turn"].dataType.simpleString()
-
-    def put(acc: Column, x: Column) -> Column:
-        above = F.element_at(acc, x["parent"])
-        return F.map_concat(acc, F.create_map(x["n"], F.struct(F.concat(F.coalesce(above["path"], F.lit("")), key(x["n"])).alias("path"), x["turn"].alias("turn"), above["turn"].alias("reply_to"))))
-
-    paths = F.aggregate("m", F.expr(f"cast(map() as map<int,struct<path:string,turn:{turn},reply_to:{turn}>>)"), put)
-    order = Window.partitionBy("c").orderBy("path")
-    placed = tree.select("c", F.explode(paths).alias("n", "v")).select("c", "n", "v.path", "v.reply_to")
-    placed = placed.select("c", "n", "reply_to", (F.row_number().over(order) - 1).alias("position"))
-    return flat.join(placed, ["c", "n"]).select("conv_id", "turn", "position", "role", "content", "reply_to", "n_quotes", "n_linked")
+    rows = flat.select("c", "n", "parent", "turn").repartition("c").sortWithinPartitions("c", "n")
+    places = rows.mapInArrow(_ordered, f"c string, n int, position long, reply_to {turn}")
+    return flat.join(places, ["c", "n"]).select("conv_id", "turn", "position", "role", "content", "reply_to", "n_quotes", "n_linked")

@@ -436,6 +436,24 @@ def test_chat_keeps_every_row(spark):
     assert {(r.position, r.turn, r.content, r.reply_to, r.n_quotes, r.n_linked) for r in got if r.conv_id is None} == {(0, 0, "alone", None, 0, 0), (0, 1, "too", None, 1, 0), (0, None, "", None, 0, 0)}
 
 
+def test_chat_order(spark):
+    """Reply order against paths, in random trees and a long chain; one conversation of many messages."""
+    rng = random.Random(13)
+    for n in (1, 2, 7, 40, 300):
+        parent = [rng.randrange(-1, i) if rng.random() < 0.7 else i - 1 for i in range(n)]
+        paths = []
+        for i, p in enumerate(parent):
+            paths.append((*(paths[p] if p >= 0 else ()), i))
+        order = sorted(range(n), key=paths.__getitem__)
+        assert chat.preorder(np.array(parent)).tolist() == [order.index(i) for i in range(n)]
+    rows = [(1, t, "u", f"line {t}" if t % 3 else f"> line {max(1, t - 5)}\nand {t}", "clash") for t in range(12_000)] + [(2, 0, "u", "x", "y")]
+    got = chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, position string")).collect()
+    by = {r.turn: r for r in got if r.conv_id == 1}
+    assert len(got) == 12_001 and sorted(r.position for r in by.values()) == list(range(12_000))
+    assert all(r.position > by[r.reply_to].position for t, r in by.items() if t) and by[6].reply_to == 1 and by[4].reply_to == 3
+    assert chat.conversations(spark.createDataFrame(rows[:0], "conv_id long, turn long, role string, text string, position string")).count() == 0
+
+
 def test_language(spark):
     rows = [(i, t, lang) for i, (t, lang) in enumerate([("the house and the garden of the king", "en"), ("der garten und das haus des königs", "de"), ("la maison et le jardin du roi", "fr")] * 20)] + [(900, None, "en"), (901, "12 !", "en"), (902, "", None)]
     got = {r.doc_id: r for r in langid.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
