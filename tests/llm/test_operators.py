@@ -535,6 +535,29 @@ def test_pipeline(spark):
     assert packed.count() > 0 and len(corpus_pipeline.STAGES) == 5
 
 
+def test_pipeline_stages_keep_columns(spark, texts, tmp_path):
+    """Columns that the operators use themselves, nulls in all of them, empty tables."""
+    import corpus_pipeline
+
+    names = "doc_id long, text string, score string, spans string, n_chars int, component_id string, _lf_score string, n string, start string, h string"
+    rows = [(i, t, None, None, None, None, None, None, None, None) if i % 2 else (i, t, "s", "p", len(t or ""), "c", "l", "n", "b", "h") for i, t in enumerate(texts)]
+    rows += [(None,) * 10, (None, texts[8] + " password=abcdef123", "s", "p", 1, "c", "l", "n", "b", "h")]
+    docs = spark.createDataFrame(rows, names).drop("_lf_score")
+    spark.createDataFrame([(i, int(i % 2), 0) for i in range(len(texts))], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, texts[6]), (None, None)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    at = f"file://{tmp_path}"
+    for some in (docs, docs.limit(0)):
+        n = some.count()
+        for _, function in corpus_pipeline.STAGES[:-1]:
+            got = function(spark, some, at)
+            assert got.schema.names == docs.schema.names and [f.dataType for f in got.schema] == [f.dataType for f in docs.schema]
+            rest = got.collect()
+            assert len(rest) <= n and (n == 0 or any(r.score == "s" and r.h == "h" for r in rest) or function is corpus_pipeline.quality_stage)
+        assert corpus_pipeline.packing_stage(spark, some, at).where("offset + length > 4096").count() == 0
+    redacted = corpus_pipeline.secrets_stage(spark, docs, at).where("doc_id is null and text is not null").head()
+    assert redacted.text.endswith(" [SECRET]") and redacted.n_chars == len(redacted.text) and redacted.spans == "p"
+
+
 def test_pipeline_tells_rows_apart_by_id_and_text(spark, texts, tmp_path):
     import corpus_pipeline
 
