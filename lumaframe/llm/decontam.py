@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumaframe.llm.words import SHINGLE, grams, mix, texts_of, word_hashes
+from lumaframe.llm.words import SHINGLE, grams, mix, texts_of, tidy, word_hashes
 from lumaframe.session import ship_code
 
 #: Items, and bytes of their texts, in a block; a block is what is sent to the executors at once.
@@ -164,7 +164,7 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = 75) -> Dat
                     columns = [pa.array(x) for x in out]
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *columns], names=["doc_id", "item_id", "n_item", "n_shared", "containment"])
 
-        part = docs.select("doc_id", "text").mapInArrow(search, schema)
+        part = docs.select("doc_id", "text").mapInArrow(tidy(search), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], schema)

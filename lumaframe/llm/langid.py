@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumaframe.llm.words import texts_of
+from lumaframe.llm.words import texts_of, tidy
 from lumaframe.session import ship_code
 
 RANKS = 400
@@ -126,7 +126,7 @@ def profiles(train: DataFrame, ranks: int = RANKS) -> dict[str, list[str]]:
                         yield flush()
         yield flush()
 
-    counted = train.where("text is not null and lang is not null").select("text", "lang").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = train.where("text is not null and lang is not null").select("text", "lang").mapInArrow(tidy(count), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     rows = counted.withColumn("r", F.row_number().over(best)).where(F.col("r") <= ranks).orderBy("lang", "r").collect()
     found: dict[str, list[str]] = {}
@@ -173,7 +173,7 @@ def predict_language(docs: DataFrame, known: dict[str, list[str]], ranks: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {key}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(score), f"doc_id {key}, lang_pred string, score double")
 
 
 def fold(folds: int) -> Column:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumaframe.llm.components import connected_components
-from lumaframe.llm.words import mix, shingles
+from lumaframe.llm.words import mix, shingles, tidy
 from lumaframe.session import Scratch, ship_code, stage
 
 ORDERS = 3
@@ -160,7 +160,7 @@ def _blocks(docs: DataFrame, parts: int) -> DataFrame:
         if block.ids:
             yield _sent(list(block.rows(parts, (task << 32) + n, hot_owners)))
 
-    return docs.select("doc_id", "text").mapInArrow(cut, _BLOCK_FIELDS)
+    return docs.select("doc_id", "text").mapInArrow(tidy(cut), _BLOCK_FIELDS)
 
 
 def _counted(rows: list[tuple], parts: int) -> list[tuple]:
@@ -283,10 +283,10 @@ def document_sets(docs: DataFrame, percent: int = 75) -> DataFrame:
         for rows in _whole(batches, 0):
             yield _block_sets(rows, parts, percent, salt_bits)
 
-    counted = _blocks(docs, parts).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(count, _BLOCK_FIELDS)
+    counted = _blocks(docs, parts).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(tidy(count), _BLOCK_FIELDS)
     more = ", ".join(f"t{k} array<long>" for k in range(1, ORDERS))
     fields = f"doc_id long, n int, d1 long, d2 long, same long, t0 array<long>, places array<long>, {more}, shared array<long>, bitmap array<long>"
-    return counted.repartition("block").sortWithinPartitions("block").mapInArrow(gather, fields)
+    return counted.repartition("block").sortWithinPartitions("block").mapInArrow(tidy(gather), fields)
 
 
 # --- links

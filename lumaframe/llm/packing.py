@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumaframe.llm.tokens import encoder
-from lumaframe.llm.words import texts_of
+from lumaframe.llm.words import texts_of, tidy
 from lumaframe.session import ship_code, stage
 
 #: Ranks are counted in so many rows at most (on average) for each length and bucket.
@@ -121,9 +121,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
             if keep_ids:
                 columns, names = [*columns, pa.array(out[4], pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        enc.end()
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {key}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
+    return docs.select("doc_id", "text").mapInArrow(tidy(cut), f"doc_id {key}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
 
 
 def pack(cut: DataFrame, capacity: int = 4096) -> DataFrame:

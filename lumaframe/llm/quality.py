@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumaframe.llm.langid import fold
+from lumaframe.llm.words import tidy
 from lumaframe.session import ship_code
 
 STEP, WIDTH, FILTERS, SECTION = 8, 8, 24, 64
@@ -193,7 +194,7 @@ def score_quality(docs: DataFrame, net: Network, column: str = "score") -> DataF
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*names, column])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(score, f"{fields}, `{column}` double")
+    return docs.mapInArrow(tidy(score), f"{fields}, `{column}` double")
 
 
 def score_texts(net: Network, texts: list[bytes]) -> np.ndarray:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumaframe.llm.tokens import encoder
-from lumaframe.llm.words import mix, texts_of
+from lumaframe.llm.words import mix, texts_of, tidy
 from lumaframe.session import discard, new_path, ship_code
 
 WINDOW, MEAN, LEAST, MOST = 16, 1024, 256, 4096
@@ -138,9 +138,10 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
                 [keys, pa.array(lengths, pa.int64()), pa.array(recipes, pa.list_(pa.binary())), pa.array(payloads, pa.list_(pa.binary())), pa.array(roots, pa.binary())],
                 names=["doc_id", "n_tokens", "recipe", "payloads", "root"],
             )
+        enc.end()
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    encoded = docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {key}, n_tokens long, recipe array<binary>, payloads array<binary>, root binary")
+    encoded = docs.select("doc_id", "text").mapInArrow(tidy(encode), f"doc_id {key}, n_tokens long, recipe array<binary>, payloads array<binary>, root binary")
     encoded.write.option("compression", "zstd").parquet(f"{path}/encoded")
     encoded = spark.read.parquet(f"{path}/encoded")
     (

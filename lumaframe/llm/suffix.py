@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumaframe.llm.words import mix, texts_of
+from lumaframe.llm.words import mix, texts_of, tidy
 from lumaframe.session import ship_code, stage
 
 GRAM = 64
@@ -341,8 +341,8 @@ def _hits(rows: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *(pa.array(x, t) for x, t in zip(found[1:], (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()), strict=True))], names=["doc_id", "th", "start", "windows", "anchor", "mark", "content"])
 
     schema = f"doc_id {key}, th long, start long, windows int, anchor long, mark int, content long"
-    dealt = rows.mapInArrow(anchors, schema).repartition("anchor").sortWithinPartitions("anchor", "content")
-    return stage(dealt.mapInArrow(_compare, f"{schema}, kind int"), "anchors")
+    dealt = rows.mapInArrow(tidy(anchors), schema).repartition("anchor").sortWithinPartitions("anchor", "content")
+    return stage(dealt.mapInArrow(tidy(_compare), f"{schema}, kind int"), "anchors")
 
 
 def _shards(rows: DataFrame, hits: DataFrame, length: int) -> DataFrame:
@@ -373,7 +373,7 @@ def _shards(rows: DataFrame, hits: DataFrame, length: int) -> DataFrame:
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True))], names=["doc_id", "th", "start", "anchor", "sub", "kind", "piece"])
 
-    return found.mapInArrow(extract, f"doc_id {key}, th long, start long, anchor long, sub int, kind int, piece binary").repartition("anchor", "sub").sortWithinPartitions("anchor", "sub")
+    return found.mapInArrow(tidy(extract), f"doc_id {key}, th long, start long, anchor long, sub int, kind int, piece binary").repartition("anchor", "sub").sortWithinPartitions("anchor", "sub")
 
 
 def repeats(docs: DataFrame, length: int = 200) -> DataFrame:
@@ -418,7 +418,7 @@ def repeats(docs: DataFrame, length: int = 200) -> DataFrame:
         if kept:
             yield from solve(pa.Table.from_batches(kept))
 
-    spans = shards.mapInArrow(search, f"doc_id {key}, th long, a long, b long")
+    spans = shards.mapInArrow(tidy(search), f"doc_id {key}, th long, a long, b long")
     whole = hits.where("kind = 0").select("doc_id", "th", F.col("start").alias("a"), (F.col("start") + F.col("windows") - 1 + length).alias("b"))
     return whole.unionByName(spans).groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
@@ -499,4 +499,4 @@ def dedup_substrings(docs: DataFrame, length: int = 200, keep_text: bool = False
             upto = 5 if keep_text else 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns[:upto]], names=["doc_id", *names[:upto]])
 
-    return joined.mapInArrow(remove, f"doc_id {key}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
+    return joined.mapInArrow(tidy(remove), f"doc_id {key}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)

@@ -51,6 +51,10 @@ class _Cache(dict):
             self.old = dict(self)
             self.clear()
 
+    def forget(self) -> None:
+        """Keep what was asked for last only."""
+        self.old = {}
+
 
 class _Pieces(_Cache):
     """Ids of pre-tokens."""
@@ -108,6 +112,12 @@ class Encoder:
         return np.frombuffer(b"".join(found), np.uint32)
 
 
+    def end(self) -> None:
+        """A task is over: the process keeps little until its next."""
+        self.pieces.forget()
+        self.words.forget()
+
+
 @cache
 def encoder(path: str) -> Encoder:
     gc.set_threshold(100_000)  # the many short lists here hold no cycles

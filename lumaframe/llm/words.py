@@ -5,7 +5,8 @@ Words are the maximal runs of bytes other than space and 0x09-0x0D, with A-Z low
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ import xxhash
 
 SHINGLE = 5
 #: A process keeps the hashes of so many words at most, then starts again.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -38,6 +39,20 @@ def texts_of(column: pa.Array) -> Iterator:
         yield from column.slice(a, _SLICE).to_pylist()
 
 
+def tidy(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same for mapInArrow; at a task's end its worker, which waits for others beside the JVM, gives freed memory back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        _hashes.clear()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of other systems may have none
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit finaliser; each seed gives another order of the same values."""
     x = x ^ np.uint64((seed * 0x9E3779B97F4A7C15 + 0x2545F4914F6CDD1D) & 0xFFFFFFFFFFFFFFFF)
