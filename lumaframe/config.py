@@ -37,15 +37,14 @@ class Config:
     gpu_performance_mode: str = "precise"
 
     def validate(self) -> Config:
-        share = lambda x: math.isfinite(x) and 0 <= x <= 1
         checks = {
             "schema_version": self.schema_version == 1,
             "demosaic": self.demosaic in ("rcd", "amaze", "igv", "dcb", "lmmse"),
             "exposure_offset_stops": math.isfinite(self.exposure_offset_stops),
             "negative_policy": self.negative_policy in ("preserve_by_curve", "clamp_to_zero", "error"),
             "chroma_filter": self.chroma_filter in ("fast", "quality"),
-            "capture_sharpening": share(self.capture_sharpening),
-            "capture_sharpening_threshold": share(self.capture_sharpening_threshold),
+            "capture_sharpening": 0 <= self.capture_sharpening <= 2,
+            "capture_sharpening_threshold": 0 <= self.capture_sharpening_threshold <= 0.1,
             "preserve_source_timestamps": self.preserve_source_timestamps is True,
             "max_frames": self.max_frames >= 0,
             "cpu_threads": 0 <= self.cpu_threads <= 256,

@@ -68,6 +68,24 @@ def log_decode(v: Column) -> Column:
     return F.when(v <= LOG_CODE_CUT, v / LOG_M).otherwise(F.pow(F.lit(2.0), v / LOG_C - LOG_B) - LOG_A)
 
 
+def log_lut(x: Column, entries: int = 65536) -> Column:
+    """The curve by linear interpolation between `entries` points on each side of 1, as a table of them gives it.
+
+    Up to the cut it is linear, from 100 on analytic, and NaN for what is not finite. A table's entries are the curve at its
+    points, in single precision, so the two around x are computed, not looked up.
+    """
+    n = entries - 1
+
+    def between(low: float, high: float) -> Column:
+        at = (x - low) * (n / (high - low))
+        i = F.least(at.cast("long"), F.lit(n - 1).cast("long"))
+        point = lambda k: log_encode(F.lit(low) + k / float(n) * (high - low)).cast("float").cast("double")
+        return let(F.struct(at.alias("at"), i.alias("i")), lambda p: let(point(p["i"]), lambda base: base + (p["at"] - p["i"]) * (point(p["i"] + 1) - base)))
+
+    inside = F.when(x <= LOG_CUT, x * LOG_M).when(x <= 1, between(LOG_CUT, 1.0)).when(x <= 100, between(1.0, 100.0)).otherwise(log_encode(x))
+    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(float("nan"))).otherwise(inside)
+
+
 def negative_policy(x: Column, policy: str) -> Column:
     """preserve_by_curve, clamp_to_zero or error."""
     if policy == "preserve_by_curve":

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 
 def due_frame(chunks: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
-    """chunks (ts, chunk_index, keys) with due: the first frame_index of the stream whose ts is not before the chunk's; null after the last.
+    """chunks (ts, chunk_index, keys) with due: the frame_index of the stream's first frame in time that is not before the chunk; null after the last.
 
-    One union, one sort inside each stream, one running minimum: no range join.
+    One union, one sort inside each stream, one running first value: no range join.
     """
     both = chunks.select(*keys, "ts", "chunk_index", F.lit(None).cast("long").alias("frame_index")).unionByName(frames.select(*keys, "ts", F.lit(None).cast("long").alias("chunk_index"), "frame_index"))
-    ahead = Window.partitionBy(*keys).orderBy("ts", F.col("frame_index").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
-    return both.withColumn("due", F.min("frame_index").over(ahead)).where("chunk_index is not null").select(*keys, "ts", "chunk_index", "due")
+    ahead = Window.partitionBy(*keys).orderBy("ts", F.col("frame_index").isNotNull(), "frame_index").rowsBetween(0, Window.unboundedFollowing)
+    return both.withColumn("due", F.first("frame_index", ignorenulls=True).over(ahead)).where("chunk_index is not null").select(*keys, "ts", "chunk_index", "due")
 
 
 def interleave(audio: DataFrame, video: DataFrame, keys: list[str]) -> DataFrame:

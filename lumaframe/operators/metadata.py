@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumaframe.functions.arrays import matrix9
 from lumaframe.functions.pixel import CFA, determinant, inverse, row_norm
 from lumaframe.functions.text import broadcast_levels, light_name_to_cct
 
@@ -32,8 +33,10 @@ def normalize(records: DataFrame) -> DataFrame:
     cfa = F.when(arrangement.isin(*CFA), arrangement).otherwise(F.raise_error(F.concat(F.lit("unknown sensor arrangement "), F.coalesce(arrangement, F.lit("null")))).cast("string"))
     black, white = pick("blackLevel")[0], pick("whiteLevel")[0]
     fields = [pick("width")[0].alias("width"), pick("height")[0].alias("height"), cfa.alias("cfa"), broadcast_levels(F.coalesce(black, F.array(F.lit(0.0)))).alias("black_level"), F.array_repeat(F.coalesce(white, F.lit(65535.0)), 4).alias("white_level"), pick("asShotNeutral")[0].alias("camera_neutral"), pick("compressionType")[0].alias("compression_type")]
+    keys = F.map_keys(F.coalesce(F.from_json("frame_json", "map<string,string>"), F.expr("map()").cast("map<string,string>")))
     for m in MATRICES:
-        value, source = pick(m)
+        # A frame's key counts even if its value is null: the container is asked only where the frame has no such key.
+        value, source = fallback(matrix9(F.col(f"f.{m}")), F.when(~F.array_contains(keys, m), matrix9(F.col(f"c.{m}"))))
         fields.append(F.when(value.isNotNull(), F.struct(value.alias("values"), source.alias("source"))).alias(m))
     warnings = [F.when(historical, F.lit("historical_arrangement_key"))]
     for i, default in ((1, 6504), (2, 2856)):
@@ -48,8 +51,9 @@ def normalize(records: DataFrame) -> DataFrame:
 def raw_faults(meta: str = "meta") -> Column:
     """Reasons why the record can't be calibrated, empty if it can."""
     m = F.col(meta)
-    levels = F.exists(F.zip_with(m["black_level"], m["white_level"], lambda b, w: w <= b), lambda x: x)
-    return F.array_compact(F.array(F.when(~((m["width"] > 0) & (m["height"] > 0)), F.lit("dimensions")), F.when(~m["compression_type"].isin(6, 7), F.lit("compression")), F.when(levels, F.lit("levels"))))
+    endless = lambda x: F.isnan(x) | (F.abs(x) == float("inf"))
+    levels = F.exists(F.zip_with(m["black_level"], m["white_level"], lambda b, w: F.coalesce(endless(b) | endless(w) | (w <= b), F.lit(True))), lambda x: x)
+    return F.array_compact(F.array(F.when(~F.coalesce((m["width"] > 0) & (m["height"] > 0), F.lit(False)), F.lit("dimensions")), F.when(~F.coalesce(m["compression_type"].isin(6, 7), F.lit(False)), F.lit("compression")), F.when(levels, F.lit("levels"))))
 
 
 def color_faults(meta: str = "meta") -> Column:

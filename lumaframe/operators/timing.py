@@ -40,6 +40,23 @@ def error_metrics(a: Column, b: Column, limit: float) -> list[Column]:
     return [F.count("*").alias("n"), F.sqrt(F.avg(d * d)).alias("rmse"), F.max(d).alias("max_abs"), F.count_if(d > limit).alias("over_limit")]
 
 
+def video_end(frames: DataFrame, keys: list[str], kept: int | None = None) -> DataFrame:
+    """keys, last_ns, end_ns of frames (timestamp_ns): of the first `kept` if that is set. They end with the next frame, or after one more of the last gap."""
+    order = Window.partitionBy(*keys).orderBy("timestamp_ns")
+    t = F.col("timestamp_ns")
+    x = frames.select(*keys, t, F.row_number().over(order).alias("nth"), F.lead(t).over(order).alias("next"), (t - F.lag(t).over(order)).alias("gap"))
+    x = x.where(F.col("nth") <= kept) if kept is not None else x.withColumn("next", F.lit(None).cast("long"))
+    last = F.max(F.struct("timestamp_ns", "next", "gap"))
+    return x.groupBy(*keys).agg(last.alias("x")).select(*keys, F.col("x.timestamp_ns").alias("last_ns"), F.coalesce("x.next", F.col("x.timestamp_ns") + F.coalesce("x.gap", F.lit(0))).alias("end_ns"))
+
+
+def worst(a: Column, b: Column, place: Column) -> list[Column]:
+    """The 99th percentile of the errors by truncated index, and where the largest is (the first place, if several)."""
+    d = F.abs(a - b)
+    ranked = F.sort_array(F.collect_list(d))
+    return [F.element_at(ranked, (F.floor((F.count(d) - 1) * 0.99) + 1).cast("int")).alias("p99"), F.min_by(place, F.struct(-d, place)).alias("worst_at")]
+
+
 def improvement(new: Column, old: Column, least: float) -> tuple[Column, Column]:
     """100 (new / old - 1) and whether it reaches the threshold."""
     gain = 100 * (new / old - 1)

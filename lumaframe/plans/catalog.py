@@ -6,16 +6,19 @@ A query runs over its whole tables. Doubles are rounded to six digits on both si
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumaframe import commands
 from lumaframe.config import PROFILES, Config
+from lumaframe.functions import arrays
 from lumaframe.functions import pixel as P
 from lumaframe.functions import text as T
 from lumaframe.functions.timebase import micros, ns_to_pts
 from lumaframe.operators import audio as A
-from lumaframe.operators import color, demosaic, merge, metadata, timing
+from lumaframe.operators import color, demosaic, devices, merge, metadata, timing
 from lumaframe.plans import picture
 from lumaframe.plans.bindings import HEIGHT, RATE, SQL_AUDIO, SQL_NS, SQL_PIXELS, SQL_PLANES, WIDTH, audio, pixels, planes, table
 from lumaframe.session import ship_code
@@ -330,15 +333,84 @@ def pack_clip_counts(spark, d):
     return picture.pack(planes(spark, d), _PACK, WIDTH, HEIGHT).select("frame", F.col("clipped_low").cast("long").alias("clipped_low"), F.col("clipped_high").cast("long").alias("clipped_high"))
 
 
-@query(f"""WITH a AS (SELECT frame, py, px, trunc(64 + 876 * greatest(v, 0) + 0.5)::INT AS va FROM ({SQL_PIXELS})),
-b AS (SELECT frame, py, px, trunc((64 + 876 * greatest(v::FLOAT, 0::FLOAT)::DOUBLE * 1.001) + 0.5)::INT AS vb FROM ({SQL_PIXELS}))
-SELECT count(*) AS compared, 0::BIGINT AS missing, count(*) FILTER (va <> vb) AS differing, round(count(*) FILTER (va <> vb) / count(*)::DOUBLE, 9) AS differing_fraction, max(abs(va - vb)) AS max_abs_diff FROM a JOIN b USING (frame, py, px)""")
+@query(f"""WITH {SQL_PLANES} SELECT (SELECT count(*) * 2 FROM rgb)::BIGINT AS compared, 0::BIGINT AS missing, TRUE AS within_one""")
 def fused_vs_reference(spark, d):
-    x = pixels(spark, d)
-    v = F.greatest(F.col("v"), F.lit(0.0))
-    a = x.select("frame", "py", "px", (v * 876 + 64 + 0.5).cast("int").alias("code"))
-    b = x.select("frame", "py", "px", ((v * 876 * 1.001 + 64) + 0.5).cast("int").alias("code"))
-    return timing.difference(a, b, ["frame", "py", "px"], "code").withColumn("differing_fraction", F.round("differing_fraction", 9))
+    """Both packs of all frames, sample by sample: the chain in double precision and the pass in single precision."""
+    return commands.validate(planes(spark, d), _PACK, WIDTH, HEIGHT).select("compared", "missing", (F.col("max_abs_diff") <= 1).alias("within_one"))
+
+
+def _lut_segment(low: str, high: str) -> str:
+    at, n = f"((v - {low}) * ({_LUT_N - 1} / ({high} - {low})))", _LUT_N - 1
+    i = f"least(trunc({at})::BIGINT, {n - 1})"
+    point = lambda k: _LOG_SQL(f"({low} + {k} / {n}::DOUBLE * ({high} - {low}))") + "::FLOAT::DOUBLE"
+    return f"{point(i)} + ({at} - {i}) * ({point(f'({i} + 1)')} - {point(i)})"
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, round(CASE WHEN v <= {P.LOG_CUT} THEN v * {P.LOG_M} WHEN v <= 1 THEN {_lut_segment(f"{P.LOG_CUT}::DOUBLE", "1::DOUBLE")} WHEN v <= 100 THEN {_lut_segment("1::DOUBLE", "100::DOUBLE")} ELSE {_LOG_SQL('v')} END, 6) AS code FROM (
+SELECT l_orderkey, l_linenumber, l_extendedprice::DOUBLE / 500.0::DOUBLE - 5 AS v FROM lineitem)""")
+def lut_branches(spark, d):
+    """Values below the cut, on both segments and beyond."""
+    v = F.col("l_extendedprice").cast("double") / 500.0 - 5
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", r6(P.log_lut(v)).alias("code"))
+
+
+@query("""WITH e AS (SELECT l_returnflag, l_orderkey * 10 + l_linenumber AS place, abs(l_extendedprice * l_discount - l_extendedprice * l_tax) AS e FROM lineitem)
+SELECT l_returnflag, round(list_sort(list(e))[floor((count(*) - 1) * 0.99)::INT + 1], 6) AS p99, arg_min(place, (-round(e, 6), place)) AS worst_at FROM e GROUP BY l_returnflag""")
+def worst_errors(spark, d):
+    price = F.col("l_extendedprice")
+    place = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long")
+    x = table(spark, d, "lineitem").groupBy("l_returnflag").agg(*timing.worst(F.round(price * F.col("l_discount") - price * F.col("l_tax"), 6), F.lit(0.0), place))
+    return x.withColumn("p99", r6("p99"))
+
+
+@query("""WITH x AS (SELECT user_id, epoch_us(ts) * 1000 AS t, row_number() OVER w AS nth, lead(epoch_us(ts) * 1000) OVER w AS nxt, epoch_us(ts) * 1000 - lag(epoch_us(ts) * 1000) OVER w AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts))
+SELECT user_id, max(t) AS last_ns, coalesce(arg_max(nxt, t), max(t) + coalesce(arg_max(gap, t), 0)) AS end_ns FROM x WHERE nth <= 20 GROUP BY user_id""")
+def video_end_cropped(spark, d):
+    """After 20 frames: the end is the next frame's time, if there is one."""
+    return timing.video_end(table(spark, d, "events").select("user_id", (micros(F.col("ts")) * 1000).alias("timestamp_ns")), ["user_id"], 20)
+
+
+@query("""SELECT o_orderpriority, (sum(CAST((o_orderkey * 6364136223846793005::HUGEINT + 1442695040888963407) % 18446744073709551616 AS HUGEINT)) % 18446744073709551616)::DECIMAL(20, 0) AS checksum FROM orders GROUP BY o_orderpriority""")
+def wrapping_checksum(spark, d):
+    word = F.pmod(F.col("o_orderkey").cast("decimal(38,0)") * F.lit(Decimal(6364136223846793005)).cast("decimal(19,0)") + F.lit(Decimal(1442695040888963407)).cast("decimal(19,0)"), F.lit(Decimal(2**64)).cast("decimal(20,0)"))
+    return table(spark, d, "orders").groupBy("o_orderpriority").agg(arrays.wrapping_sum(word).alias("checksum"))
+
+
+@query("""SELECT p_partkey, (p_partkey * 65537 + p_size) & 65535 AS low, ((p_partkey * 65537 + p_size) >> 16) & 65535 AS high FROM part""")
+def unpack_words(spark, d):
+    x = table(spark, d, "part").select("p_partkey", arrays.unpack16(F.array(F.col("p_partkey").cast("long") * 65537 + F.col("p_size"))).alias("v"))
+    return x.select("p_partkey", F.col("v")[0].alias("low"), F.col("v")[1].alias("high"))
+
+
+@query("""SELECT vec_id, (len(embedding) // 2)::BIGINT AS per_channel, list_sum(list_transform(embedding[1:(vec_id % 80)::INT], lambda x: round(x::DOUBLE, 4))) AS kept FROM embeddings""")
+def channel_samples(spark, d):
+    x = table(spark, d, "embeddings")
+    kept = F.transform(arrays.cropped(F.col("embedding"), F.col("vec_id") % 80), lambda v: F.round(v.cast("double"), 4))
+    total = F.when(F.size(kept) > 0, F.aggregate(kept, F.lit(0.0), lambda a, v: a + v))
+    return x.select("vec_id", arrays.samples_per_channel(F.size("embedding"), F.lit(2)).alias("per_channel"), total.alias("kept"))
+
+
+@query("""WITH dev AS (SELECT s_suppkey AS idx, s_name AS name, ['other', 'virtual', 'integrated', 'discrete', 'cpu'][(s_suppkey % 5 + 1)::INT] AS type, s_suppkey % 3 = 0 AS software, s_suppkey % 4 <> 1 AS compute FROM supplier)
+SELECT idx, name, type FROM dev WHERE NOT software AND compute AND type <> 'cpu' ORDER BY list_position(['discrete', 'integrated', 'virtual', 'other'], type), idx LIMIT 1""")
+def preferred_device(spark, d):
+    k = F.col("s_suppkey")
+    kind = F.element_at(F.array(*map(F.lit, ("other", "virtual", "integrated", "discrete", "cpu"))), (k % 5 + 1).cast("int"))
+    x = table(spark, d, "supplier").select(k.alias("index"), F.col("s_name").alias("name"), kind.alias("type"), (k % 3 == 0).alias("software"), (k % 4 != 1).alias("compute"))
+    return devices.select_device(x, "auto").select(F.col("index").alias("idx"), "name", "type")
+
+
+@query("""SELECT user_id, count(*) AS packets, count(*) FILTER (pts IS NULL OR coalesce(pts <= before, FALSE) OR NOT coalesce(duration > 0, FALSE)) AS faults FROM (
+SELECT user_id, pts, duration, lag(pts) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM (SELECT user_id, event_id, CASE WHEN event_id % 97 <> 0 THEN epoch_us(ts) END AS pts, event_id % 50 AS duration FROM events)) GROUP BY user_id""")
+def packet_validation(spark, d):
+    e = F.col("event_id")
+    x = table(spark, d, "events").select("user_id", e.alias("seq"), F.when(e % 97 != 0, micros(F.col("ts"))).alias("pts"), (e % 50).alias("duration"))
+    return commands.packet_faults(x, ["user_id"])
+
+
+@query("""SELECT event_type AS path, count(*) AS frames, min(us) * 1000 AS first_ns, max(us) * 1000 AS last_ns, min(step) * 1000 AS min_step_ns, max(step) * 1000 AS max_step_ns FROM (
+SELECT event_type, epoch_us(ts) AS us, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts) AS step FROM events) GROUP BY event_type""")
+def inspect_command(spark, d):
+    return commands.inspect(table(spark, d, "events").select(F.col("event_type").alias("path"), (micros(F.col("ts")) * 1000).alias("timestamp_ns")))
 
 
 @query("""SELECT l_returnflag, count(*) AS n, round(sqrt(avg(e * e)), 6) AS rmse, round(max(e), 6) AS max_abs, count(*) FILTER (e > 2000) AS over_limit FROM (

@@ -6,12 +6,18 @@ for an earlier stage simply stops there; unused columns are never computed.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumaframe.config import Config
+from lumaframe.errors import ProcessingFailed
 from lumaframe.functions import pixel as P
 from lumaframe.operators.stencil import chroma_taps, luma_plane, sharpen_delta
+from lumaframe.session import ship_code
 
 # The matrix of the queries and tests.
 MATRIX = (1.1, -0.1, 0.02, -0.03, 1.04, -0.01, 0.01, -0.08, 1.07)
@@ -42,7 +48,7 @@ def sharpened(planes: DataFrame, config: Config, width: int, height: int) -> Dat
 
 def logged(planes: DataFrame, config: Config) -> DataFrame:
     """Rounded to nine digits, so that a code doesn't hang on the last bit of a logarithm."""
-    return planes.withColumns({c: F.transform(c, lambda v: F.round(P.log_encode(P.negative_policy(v, config.negative_policy)), 9)) for c in "rgb"})
+    return planes.withColumns({c: F.transform(c, lambda v: F.round(P.log_encode(P.negative_policy(P.finite(v), config.negative_policy)), 9)) for c in "rgb"})
 
 
 def coded(planes: DataFrame, config: Config, width: int, height: int) -> DataFrame:
@@ -88,6 +94,72 @@ def pack(planes: DataFrame, config: Config, width: int, height: int, until: str
     return planes
 
 
+def samples(codes: DataFrame) -> DataFrame:
+    """frame, plane, i, code of the planes of packed frames."""
+    kinds = [codes.select("frame", F.lit(k).alias("plane"), F.posexplode(c).alias("i", "code")) for k, c in enumerate(("y", "cb", "cr"))]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
+
+
+def _noise(frame: int, plane: int, n: int) -> np.ndarray:
+    """P.dither of samples 0 to n - 1."""
+    h = np.arange(n, dtype=np.uint64) * np.uint64(P.HASH_SAMPLE) ^ np.uint64((frame * P.HASH_FRAME ^ plane * P.HASH_PLANE) & (2**64 - 1))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(P.HASH_MIX_1)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(P.HASH_MIX_2)
+    return ((h ^ (h >> np.uint64(31))) >> np.uint64(40)).astype(np.float32) / np.float32(2**24) - np.float32(0.5)
+
+
+def fused_codes(rgb: np.ndarray, frame: int, config: Config, matrix=MATRIX) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+    """y, cb, cr codes and clipped values of one frame (3 x h x w), all steps in single precision, by whole planes."""
+    f32 = np.float32
+    x = np.tensordot(np.array(matrix, f32).reshape(3, 3) * f32(2.0**config.exposure_offset_stops), rgb.astype(f32), 1)
+    if config.capture_sharpening > 0:
+        weights = np.array((P.KR, P.KG, P.KB), f32)[:, None, None]
+        y = (x * weights).sum(axis=0)
+        e = np.pad(y, 1, "edge")
+        d = y - (e[1:-1, :-2] + e[1:-1, 2:] + e[:-2, 1:-1] + e[2:, 1:-1]) * f32(0.25)
+        x = x + np.where(np.abs(d) > f32(config.capture_sharpening_threshold), np.copysign((np.abs(d) - f32(config.capture_sharpening_threshold)) * f32(config.capture_sharpening), d), f32(0))
+    if not np.isfinite(x).all():
+        raise ProcessingFailed("a value is not finite")
+    if config.negative_policy == "error" and (x < 0).any():
+        raise ProcessingFailed("negative value before the log curve")
+    if config.negative_policy == "clamp_to_zero":
+        x = np.maximum(x, f32(0))
+    x = np.where(x <= f32(P.LOG_CUT), x * f32(P.LOG_M), (np.log2(np.maximum(x, f32(P.LOG_CUT)) + f32(P.LOG_A)) + f32(P.LOG_B)) * f32(P.LOG_C))
+    y = x[0] * f32(P.KR) + x[1] * f32(P.KG) + x[2] * f32(P.KB)
+
+    def chroma(c: np.ndarray) -> np.ndarray:
+        if config.chroma_filter != "quality":
+            return c[:, : c.shape[1] // 2 * 2 : 2]
+        e = np.pad(c, ((0, 0), (2, 2)), "edge")
+        w = c.shape[1]
+        taps = (e[:, 2 : 2 + w] * f32(10) + (e[:, 1 : 1 + w] + e[:, 3 : 3 + w]) * f32(4) - e[:, :w] - e[:, 4 : 4 + w]) / f32(16)
+        return taps[:, : w // 2 * 2 : 2]
+
+    cb, cr = chroma((x[2] - y) / f32(2 * (1 - P.KB))), chroma((x[0] - y) / f32(2 * (1 - P.KR)))
+    out, low, high = [], 0, 0
+    for plane, (value, top) in enumerate(((y * f32(876) + f32(64), 940), (cb * f32(896) + f32(512), 960), (cr * f32(896) + f32(512), 960))):
+        value = value.ravel()
+        low, high = low + int((value < 64).sum()), high + int((value > top).sum())
+        noise = _noise(frame, plane, len(value)) if config.deterministic_dither else f32(0)
+        out.append((np.clip(value, f32(64), f32(top)) + noise + f32(0.5)).astype(np.int32))
+    return *out, low, high
+
+
+def pack_fused(planes: DataFrame, config: Config, width: int, height: int, matrix=MATRIX) -> DataFrame:
+    """The whole chain in one pass over each frame, in single precision: within one code of pack()."""
+    ship_code(planes.sparkSession)
+    frame = planes.schema["frame"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rgb = np.stack([batch.column(k)[i].values.to_numpy(zero_copy_only=False).reshape(height, width) for k in (1, 2, 3)])
+                y, cb, cr, low, high = fused_codes(rgb, batch.column(0)[i].as_py(), config, matrix)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *(pa.array([x], pa.list_(pa.int32())) for x in (y, cb, cr)), pa.array([low], pa.int32()), pa.array([high], pa.int32())], names=["frame", "y", "cb", "cr", "clipped_low", "clipped_high"])
+
+    return planes.select("frame", "r", "g", "b").mapInArrow(run, f"frame {frame}, y array<int>, cb array<int>, cr array<int>, clipped_low int, clipped_high int")
+
+
 def to_pixels(planes: DataFrame, names: list[str], width: int) -> DataFrame:
     """frame, y, x and one column a plane."""
     rows = planes.select("frame", F.posexplode(F.arrays_zip(*names)).alias("i", "s"))

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from lumaframe.errors import IoFailed
+
 # This package's own open container, a stand-in for camera containers whose layout is an external library's.
 MAGIC, VERSION = b"LFC1", 1
 _FOOTER, _RECORD = struct.Struct("<qq"), struct.Struct("<qqi")
@@ -117,12 +120,29 @@ def write_files(df: DataFrame, folder: str) -> DataFrame:
 
 
 def publish(df: DataFrame, path: str, overwrite: bool = False, order: list[str] | None = None) -> int:
-    """Write as Parquet, all or nothing; an existing path is an error unless told. Then re-read, compare counts, return them."""
-    before = df.count()
-    (df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df).write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
-    after = df.sparkSession.read.parquet(path).count()
-    if before != after:
-        raise RuntimeError(f"{after} of {before} rows were written")
+    """Write as Parquet, all or nothing; an existing path is an error unless told. Returns the number of rows.
+
+    The rows are counted while they are written beside the path; only what reads back whole takes its place, so a failure leaves an
+    older table as it was.
+    """
+    spark, part = df.sparkSession, f"{path.rstrip('/')}.partial-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    store = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(hadoop(path)) and not overwrite:
+        raise IoFailed(f"{path} exists")
+    seen = Observation()
+    arranged = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
+    try:
+        arranged.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(part)
+        before, after = seen.get["n"], spark.read.schema(df.schema).parquet(part).count()
+        if before != after:
+            raise IoFailed(f"{after} of {before} rows were written")
+        if overwrite:
+            store.delete(hadoop(path), True)
+        if not store.rename(hadoop(part), hadoop(path)):
+            raise IoFailed(f"{part} can't be renamed")
+    finally:
+        store.delete(hadoop(part), True)
     return after
 
 

@@ -167,3 +167,117 @@ def test_result_is_free_of_partitioning(spark):
     planes = bindings.planes(spark, SMALL)
     codes = lambda n: sorted(map(tuple, picture.pack(planes.repartition(n), Config(), 8, 8).select("frame", "y", "cb", "cr").collect()))
     assert codes(1) == codes(7)
+
+
+def test_fused_pack_is_within_one_code(spark):
+    """Both packs over all policies, filters, dither and sharpening; the single-precision one raises where the chain does."""
+    import itertools
+
+    from lumaframe import commands
+    from lumaframe.config import Config
+
+    rng = np.random.default_rng(7)
+    rows = [(f, *(rng.uniform(0.0, 1.5, 12 * 6).tolist() for _ in range(3))) for f in range(3)]
+    planes = spark.createDataFrame(rows, "frame long, r array<double>, g array<double>, b array<double>")
+    for policy, chroma, dither, amount in itertools.product(("preserve_by_curve", "clamp_to_zero"), ("fast", "quality"), (True, False), (0.0, 0.8)):
+        config = Config(negative_policy=policy, chroma_filter=chroma, deterministic_dither=dither, capture_sharpening=amount, exposure_offset_stops=0.5)
+        got = commands.validate(planes, config, 12, 6).first()
+        assert got["compared"] == 3 * (72 + 2 * 36) and got["missing"] == 0 and got["max_abs_diff"] <= 1, (policy, chroma, dither, amount)
+    bad = spark.createDataFrame([(0, [-1.0] * 72, [-1.0] * 72, [-1.0] * 72)], planes.schema)
+    for function in (picture_pack, fused_pack):
+        with pytest.raises(Exception, match="negative"):
+            function(bad, Config(negative_policy="error"))
+        with pytest.raises(Exception, match="finite"):
+            function(spark.createDataFrame([(0, [float("nan")] * 72, [1.0] * 72, [1.0] * 72)], planes.schema), Config())
+
+
+def picture_pack(planes, config):
+    from lumaframe.plans import picture
+
+    return picture.pack(planes, config, 12, 6).collect()
+
+
+def fused_pack(planes, config):
+    from lumaframe.plans import picture
+
+    return picture.pack_fused(planes, config, 12, 6).collect()
+
+
+def test_config_ranges():
+    from lumaframe.config import load
+    from lumaframe.errors import InvalidArgument
+
+    assert load('{"capture_sharpening": 1.5, "capture_sharpening_threshold": 0.1}').capture_sharpening == 1.5
+    for text in ('{"capture_sharpening": 2.1}', '{"capture_sharpening_threshold": 0.2}', '{"capture_sharpening": -0.1}', '{"async_depth": 0}'):
+        with pytest.raises(InvalidArgument):
+            load(text)
+
+
+def test_due_frame_is_the_first_in_time(spark):
+    from lumaframe.operators.merge import due_frame
+
+    chunks = spark.createDataFrame([(1, 10, 0), (1, 25, 1), (1, 31, 2)], "k long, ts long, chunk_index long")
+    frames = spark.createDataFrame([(1, 20, 5), (1, 30, 2)], "k long, ts long, frame_index long")
+    assert [r.due for r in due_frame(chunks, frames, ["k"]).orderBy("ts").collect()] == [5, 2, None]
+
+
+def test_metadata_null_key_stops_the_fallback(spark):
+    from lumaframe.operators import metadata
+
+    ones = str([1.0, 0, 0, 0, 1, 0, 0, 0, 1])
+    rows = [('{"sensorArrangement": "rggb", "colorMatrix1": null}', f'{{"colorMatrix1": {ones}}}'), ('{"sensorArrangement": "rggb"}', f'{{"colorMatrix1": {ones}}}')]
+    got = metadata.normalize(spark.createDataFrame(rows, "frame_json string, container_json string")).withColumn("faults", metadata.raw_faults()).collect()
+    assert got[0]["meta"]["colorMatrix1"] is None and got[1]["meta"]["colorMatrix1"]["source"] == "container"
+    assert set(got[0]["faults"]) == {"dimensions", "compression"}
+    with pytest.raises(Exception, match="nine"):
+        metadata.normalize(spark.createDataFrame([('{"sensorArrangement": "rggb", "colorMatrix1": [1, 2]}', "{}")], "frame_json string, container_json string")).collect()
+
+
+def test_publish_keeps_the_old_table_on_failure(spark, tmp_path):
+    from lumaframe.sources.files import publish
+
+    path = f"file://{tmp_path}/out"
+    assert publish(spark.range(10), path) == 10
+    with pytest.raises(Exception, match="exists"):
+        publish(spark.range(5), path)
+    with pytest.raises(Exception):
+        publish(spark.range(5).selectExpr("id", "raise_error('no') as x"), path, overwrite=True)
+    assert spark.read.parquet(path).count() == 10
+    assert publish(spark.range(7), path, overwrite=True, order=["id"]) == 7 and spark.read.parquet(path).count() == 7
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+def test_devices_and_commands(spark):
+    from lumaframe import commands
+    from lumaframe.config import Config
+    from lumaframe.errors import InvalidArgument, UnsupportedFormat
+    from lumaframe.operators.devices import satisfied, select_device
+
+    rows = [(0, "Soft", "cpu", "00", 1, 2, True, True), (1, "Big One", "discrete", "ab12", 4318, 9476, False, True), (2, "Small", "integrated", "cd34", 32902, 1, False, True), (3, "Mute", "discrete", "ef", 7, 7, False, False)]
+    devices = spark.createDataFrame(rows, "index int, name string, type string, uuid string, vendor long, device long, software boolean, compute boolean")
+    for selector, want in (("auto", 1), ("2", 2), ("uuid:CD-34", 2), ("pci:10de:2504", 1), ("small", 2), ("big", 1)):
+        assert select_device(devices, selector).first()["index"] == want
+    for selector, error in (("", InvalidArgument), ("9", InvalidArgument), ("uuid:99", InvalidArgument), ("pci:zz", InvalidArgument), ("nothing", InvalidArgument), ("mute", UnsupportedFormat)):
+        with pytest.raises(error):
+            select_device(devices, selector)
+    assert dict(commands.config_df(spark, Config()).collect())["demosaic"] == '"rcd"'
+    assert commands.capabilities(spark).where("available and kind = 'stage'").count() == 5
+    assert satisfied(spark.range(2), spark.range(3)) and not satisfied(spark.range(4), spark.range(3))
+    frames = spark.createDataFrame([(0, 5), (1, 9)], "frame_index long, timestamp_ns long")
+    assert commands.frame(frames, 1).first()["timestamp_ns"] == 9 and commands.inspect(frames).first()["max_step_ns"] == 4
+    with pytest.raises(InvalidArgument):
+        commands.frame(frames, 2)
+    assert set(commands.benchmark(lambda: spark.range(3), 2)) == {"least", "median", "most"}
+
+
+def test_array_checks(spark):
+    from lumaframe.functions import arrays
+
+    one = lambda column, **values: spark.range(1).select(column).first()[0]
+    lit = lambda *x: F.array(*map(F.lit, x))
+    assert one(arrays.vector3(lit(1.0, 2.0, 3.0))) == [1, 2, 3] and one(arrays.checked_number(F.lit("42"))) == 42
+    assert one(arrays.unpack16(lit(0x00020001))) == [1, 2] and one(arrays.cropped(lit(1, 2, 3), F.lit(5))) == [1, 2, 3]
+    assert one(arrays.samples_per_channel(F.lit(6), F.lit(2))) == 3
+    for bad in (arrays.vector3(lit(1.0, 0.0, 3.0)), arrays.matrix9(lit(1.0)), arrays.checked_number(F.lit("4x")), arrays.samples_per_channel(F.lit(0), F.lit(2)), arrays.samples_per_channel(F.lit(5), F.lit(2))):
+        with pytest.raises(Exception, match="invalid"):
+            one(bad)
