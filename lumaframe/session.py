@@ -101,8 +101,15 @@ class Scratch:
         discard(self.spark, self.path)
 
 
+#: Bytes of a batch that goes to a Python worker, and Spark's own setting, which it replaces unless a user has chosen another:
+#: ten thousand long texts are held by the JVM and by the worker at once.
+_BATCH, _BATCH_BYTES, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "8m", "67108864b"
+
+
 def ship_code(spark: SparkSession) -> None:
-    """Let Python workers import this package even where it is on no worker's path."""
+    """Let Python workers import this package even where it is on no worker's path, and send them batches of bounded size."""
+    if spark.conf.get(_BATCH, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, _BATCH_BYTES)
     app = spark.sparkContext.applicationId
     on_path = [os.path.realpath(p or ".") for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]]
     if app in _shipped or str(ROOT) in on_path:
