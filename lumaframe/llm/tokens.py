@@ -13,13 +13,14 @@ from functools import cache
 
 import numpy as np
 
-#: A process keeps the ids of so many pre-tokens and of so many space-separated words, and of as many from before, at most.
+#: A process keeps the ids of so many pre-tokens and, unless told, of so many space-separated words, and of as many from before, at most.
 CACHE_PIECES = 250_000
 
 # ASCII and Latin-1 letters, the only letters and digits of plain texts, and the vocabularies' patterns over them.
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"[\t\n\r !-~¡§«»¿{_L}]*")
 _WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[0-9]|[^\s{_L}0-9]+")
+_MARKS = ",.;:!?)"
 _BYTE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^\s{_L}0-9]+|\s+(?!\S)|\s+")
 
 
@@ -33,8 +34,9 @@ def _byte_characters() -> dict[int, str]:
 class _Cache(dict):
     """Values by key; when it is full, those not asked for since it was last full are forgotten."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int) -> None:
         self.old: dict[str, bytes] = {}
+        self.most = most
 
     def make(self, key: str) -> bytes:
         raise NotImplementedError
@@ -47,7 +49,7 @@ class _Cache(dict):
         return value
 
     def trim(self) -> None:
-        if len(self) > CACHE_PIECES:
+        if len(self) > self.most:
             self.old = dict(self)
             self.clear()
 
@@ -59,8 +61,8 @@ class _Cache(dict):
 class _Pieces(_Cache):
     """Ids of pre-tokens."""
 
-    def __init__(self, tokenizer) -> None:
-        super().__init__()
+    def __init__(self, tokenizer, most: int) -> None:
+        super().__init__(most)
         table = _byte_characters()
         # All characters of plain texts, as what stands for their bytes.
         self.characters = {c: "".join(table[b] for b in chr(c).encode()) for c in range(256)}
@@ -68,31 +70,42 @@ class _Pieces(_Cache):
         self.model = tokenizer.model
 
     def make(self, piece: str) -> bytes:
-        return b"".join([self.raw[t.id] for t in self.model.tokenize(piece.translate(self.characters))])
+        return self.ids(piece.translate(self.characters))
+
+    def ids(self, characters: str) -> bytes:
+        raw = self.raw
+        return b"".join([raw[t.id] for t in self.model.tokenize(characters)])
 
 
 class _Words(_Cache):
     """Ids of what stands between spaces, with the space before it in byte-level vocabularies, put together from its pre-tokens."""
 
-    def __init__(self, cut, pieces: _Pieces, before: str) -> None:
-        super().__init__()
+    def __init__(self, cut, pieces: _Pieces, before: str, most: int) -> None:
+        super().__init__(most)
         self.cut, self.pieces, self.before = cut, pieces, before
+        self.stands = before.translate(pieces.characters)
 
     def make(self, word: str) -> bytes:
+        # Words of plain texts only come here, where all that isalpha() means are the patterns' letters.
+        if word.isalpha():
+            return self.pieces.ids(self.stands + (word if word.isascii() else word.translate(self.pieces.characters)))
+        # A word and one mark after it are two pre-tokens.
+        if word[-1:] in _MARKS and word[:-1].isalpha():
+            return self[word[:-1]] + self.pieces[word[-1]]
         return b"".join(map(self.pieces.__getitem__, self.cut(self.before + word)))
 
 
 class Encoder:
     """encode(text) gives the uint32 ids of a whole text, without special tokens; a null or empty text has none."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, words: int = CACHE_PIECES) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.by_word = bool(getattr(self.tokenizer.model, "end_of_word_suffix", None))
         self.cut = (_WORD if self.by_word else _BYTE).findall
-        self.pieces = _Pieces(self.tokenizer)
-        self.words = _Words(self.cut, self.pieces, "" if self.by_word else " ")
+        self.pieces = _Pieces(self.tokenizer, CACHE_PIECES)
+        self.words = _Words(self.cut, self.pieces, "" if self.by_word else " ", words)
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
@@ -119,6 +132,7 @@ class Encoder:
 
 
 @cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, words: int = CACHE_PIECES) -> Encoder:
+    """The process's encoder of a vocabulary, with a cache of so many words."""
     gc.set_threshold(100_000)  # the many short lists here hold no cycles
-    return Encoder(path)
+    return Encoder(path, words)
