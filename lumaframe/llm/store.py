@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ from lumaframe.llm.words import mix, texts_of, tidy
 from lumaframe.session import discard, new_path, ship_code
 
 WINDOW, MEAN, LEAST, MOST = 16, 1024, 256, 4096
+#: Words whose ids a process keeps, some 150 bytes each.
+CACHE_WORDS = 600_000
 
 
 #: A random value for each of the lowest 65,536 ids, made by rule.
@@ -74,42 +77,37 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def _zero_operators() -> list[list[int]]:
-    """For each power of two, the columns of the matrix that carries a CRC-32 over so many zero bytes."""
+@cache
+def _over_zeros(power: int) -> list[list[int]]:
+    """What 2 ** power zero bytes after it make of a CRC-32, for each value of each of its four bytes; the results are to be xored."""
 
-    def times(matrix: list[int], vector: int) -> int:
-        total, i = 0, 0
-        while vector:
-            if vector & 1:
-                total ^= matrix[i]
-            vector >>= 1
-            i += 1
-        return total
+    def tables(columns: list[int]) -> list[list[int]]:
+        found = [[0] for _ in range(4)]
+        for i, column in enumerate(columns):
+            found[i // 8] += [column ^ x for x in found[i // 8]]
+        return found
 
-    bit = [0xEDB88320, *(1 << i for i in range(31))]
-    found = []
-    for power in range(3 + 44):
-        if power >= 3:
-            found.append(bit)
-        bit = [times(bit, column) for column in bit]
-    return found
+    if power:
+        half = _over_zeros(power - 1)
+        return tables([_carry(half, _carry(half, 1 << i)) for i in range(32)])
+    # One zero byte is eight zero bits.
+    columns = [1 << i for i in range(32)]
+    for _ in range(8):
+        columns = [x >> 1 ^ (0xEDB88320 if x & 1 else 0) for x in columns]
+    return tables(columns)
 
 
-_ZEROS = _zero_operators()
+def _carry(tables: list[list[int]], crc: int) -> int:
+    a, b, c, d = tables
+    return a[crc & 255] ^ b[crc >> 8 & 255] ^ c[crc >> 16 & 255] ^ d[crc >> 24]
 
 
 def crc_join(first: int, second: int, n_bytes: int) -> int:
     """CRC-32 of two byte strings together, from theirs and the second one's length."""
     power = 0
-    while n_bytes:
+    while n_bytes and first:
         if n_bytes & 1:
-            total, i, columns = 0, 0, _ZEROS[power]
-            while first:
-                if first & 1:
-                    total ^= columns[i]
-                first >>= 1
-                i += 1
-            first = total
+            first = _carry(_over_zeros(power), first)
         n_bytes >>= 1
         power += 1
     return first ^ second
@@ -121,7 +119,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
     ship_code(spark)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, CACHE_WORDS)
         end = np.array([end_id], np.uint32)
         for batch in batches:
             keys, lengths, recipes, payloads, roots = batch.column(0), [], [], [], []
