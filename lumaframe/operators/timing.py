@@ -1,27 +1,19 @@
-"""Summaries, differences and gates over measurements. Everything is one aggregation with partial sums."""
+"""Summaries, differences and gates over measurements: aggregations with partial sums, ranks by ranks.py."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def percentiles(value: str, points: tuple[float, ...]) -> list[Column]:
-    """Exact interpolated percentiles (index p * (n - 1)), 0 without values."""
-    found = F.percentile(value, F.array(*map(F.lit, points)))
-    return [F.coalesce(found[i], F.lit(0.0)).alias(f"p{round(100 * p)}") for i, p in enumerate(points)]
+from lumaframe.operators import ranks
 
 
 def stage_summary(samples: DataFrame, stage: str, ms: str) -> DataFrame:
-    """stage, samples, total, mean, p50, p95, p99."""
-    return samples.groupBy(stage).agg(F.count(ms).alias("samples"), F.sum(ms).alias("total"), F.avg(ms).alias("mean"), *percentiles(ms, (0.5, 0.95, 0.99)))
-
-
-def nearest_rank(table: DataFrame, keys: list[str], value: str, rank: Column) -> DataFrame:
-    """The value at a 0-based rank in each group's ascending order; rank may use the group's size n."""
-    order = Window.partitionBy(*keys).orderBy(value)
-    counted = table.withColumn("i", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
-    return counted.where(F.col("i") == rank).select(*keys, value)
+    """stage, samples, total, mean, p50, p95, p99 (interpolated, exact); a stage without values has 0 as percentiles."""
+    sums = samples.groupBy(F.col(stage).alias("_stage")).agg(F.count(ms).alias("samples"), F.sum(ms).alias("total"), F.avg(ms).alias("mean"))
+    points = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    found = ranks.percentiles(samples, [stage], ms, points)
+    return found.join(sums, F.col(stage).eqNullSafe(F.col("_stage"))).select(stage, "samples", "total", "mean", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in points))
 
 
 def difference(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -50,11 +42,15 @@ def video_end(frames: DataFrame, keys: list[str], kept: int | None = None) -> Da
     return x.groupBy(*keys).agg(last.alias("x")).select(*keys, F.col("x.timestamp_ns").alias("last_ns"), F.coalesce("x.next", F.col("x.timestamp_ns") + F.coalesce("x.gap", F.lit(0))).alias("end_ns"))
 
 
-def worst(a: Column, b: Column, place: Column) -> list[Column]:
-    """The 99th percentile of the errors by truncated index, and where the largest is (the first place, if several)."""
-    d = F.abs(a - b)
-    ranked = F.sort_array(F.collect_list(d))
-    return [F.element_at(ranked, (F.floor((F.count(d) - 1) * 0.99) + 1).cast("int")).alias("p99"), F.min_by(place, F.struct(-d, place)).alias("worst_at")]
+def worst(table: DataFrame, keys: list[str], error: Column, place: Column) -> DataFrame:
+    """keys, p99 (of the errors' sizes, by truncated index), worst_at (the place of the largest; the first, if several)."""
+    x = table.select(*keys, F.abs(error).alias("_d"), place.alias("_place"))
+    last = x.groupBy(*(F.col(c).alias(f"_w{i}") for i, c in enumerate(keys))).agg(F.min_by("_place", F.struct(-F.col("_d"), F.col("_place"))).alias("worst_at"))
+    found = ranks.values_at(x, keys, "_d", {"p99": (0.99, lambda n: F.floor((n - 1) * 0.99))})
+    same = F.lit(True)
+    for i, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"_w{i}"))
+    return found.join(last, same).select(*keys, "p99", "worst_at")
 
 
 def improvement(new: Column, old: Column, least: float) -> tuple[Column, Column]:

@@ -18,7 +18,7 @@ from lumaframe.functions import pixel as P
 from lumaframe.functions import text as T
 from lumaframe.functions.timebase import micros, ns_to_pts
 from lumaframe.operators import audio as A
-from lumaframe.operators import color, demosaic, devices, merge, metadata, timing
+from lumaframe.operators import color, demosaic, devices, merge, metadata, ranks, timing
 from lumaframe.plans import picture
 from lumaframe.plans.bindings import HEIGHT, RATE, SQL_AUDIO, SQL_NS, SQL_PIXELS, SQL_PLANES, WIDTH, audio, pixels, planes, table
 from lumaframe.session import ship_code
@@ -47,15 +47,15 @@ def r6(c: Column | str) -> Column:
 
 @query("SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts) - 1 AS frame_index, epoch_us(ts) * 1000 AS timestamp_ns FROM events")
 def frame_index_assign(spark, d):
-    w = Window.partitionBy("event_type").orderBy("ts")
-    return table(spark, d, "events").select("event_id", (F.row_number().over(w) - 1).cast("long").alias("frame_index"), (micros(F.col("ts")) * 1000).alias("timestamp_ns"))
+    x = ranks.numbered(table(spark, d, "events").select("event_id", "event_type", "ts"), ["event_type"], ["ts"], F.date_trunc("hour", "ts"), "frame_index")
+    return x.select("event_id", F.col("frame_index").cast("long").alias("frame_index"), (micros(F.col("ts")) * 1000).alias("timestamp_ns"))
 
 
 @query("""SELECT event_type, count(*) AS n, sum(CASE WHEN gap <= 0 THEN 1 ELSE 0 END)::BIGINT AS not_increasing, min(gap) AS least_gap_us FROM (
 SELECT event_type, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY event_id) AS gap FROM events) GROUP BY event_type""")
 def strictly_increasing_check(spark, d):
-    w = Window.partitionBy("event_type").orderBy("event_id")
-    x = table(spark, d, "events").select("event_type", (micros(F.col("ts")) - F.lag(micros(F.col("ts"))).over(w)).alias("gap"))
+    e = table(spark, d, "events").select("event_type", "event_id", micros(F.col("ts")).alias("us"))
+    x = ranks.lagged(e, ["event_type"], "event_id", "us", F.floor(F.col("event_id") / 1_000_000), "before").withColumn("gap", F.col("us") - F.col("before"))
     return x.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.when(F.col("gap") <= 0, 1).otherwise(0)).alias("not_increasing"), F.min("gap").alias("least_gap_us"))
 
 
@@ -69,8 +69,9 @@ def frame_limit_point(spark, d):
 round(CASE WHEN avg(gap) > 0 THEN 1000000.0 / avg(gap) ELSE 0 END, 6) AS estimated_fps, round((max(us) - min(us)) / 1000000.0, 6) AS duration_s FROM (
 SELECT event_type, epoch_us(ts) AS us, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts) AS gap FROM events) GROUP BY event_type""")
 def inspect_summary(spark, d):
-    x = table(spark, d, "events").select("event_type", micros(F.col("ts")).alias("us")).withColumn("gap", F.col("us") - F.lag("us").over(Window.partitionBy("event_type").orderBy("us")))
-    gap = F.avg("gap")
+    """The gaps between neighbours add up to the whole span, so their mean needs no order."""
+    x = table(spark, d, "events").select("event_type", micros(F.col("ts")).alias("us"))
+    gap = F.when(F.count("us") > 1, (F.max("us") - F.min("us")) / F.greatest(F.count("us") - 1, F.lit(1)))
     return x.groupBy("event_type").agg(F.count("*").alias("frames"), (F.min("us") * 1000).alias("first_ns"), (F.max("us") * 1000).alias("last_ns"), r6(gap / 1000).alias("mean_interval_ms"), r6(F.when(gap > 0, 1_000_000 / gap).otherwise(0.0)).alias("estimated_fps"), r6((F.max("us") - F.min("us")) / 1_000_000).alias("duration_s"))
 
 
@@ -94,7 +95,9 @@ def stage_timing_merge(spark, d):
 
 @query("SELECT event_type, round(max(value), 6) AS largest, round(min(value), 6) AS least, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY event_type")
 def bench_percentiles(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(r6(F.max("value")).alias("largest"), r6(F.min("value")).alias("least"), r6(F.avg("value")).alias("mean"), r6(timing.percentiles("value", (0.9,))[0]).alias("p90"))
+    e = table(spark, d, "events").select("event_type", "value")
+    x = e.groupBy("event_type").agg(r6(F.max("value")).alias("largest"), r6(F.min("value")).alias("least"), r6(F.avg("value")).alias("mean"))
+    return x.join(ranks.percentiles(e, ["event_type"], "value", {"p90": 0.9}).select("event_type", r6("p90").alias("p90")), "event_type")
 
 
 @query("""SELECT event_id, user_id, count(*) OVER w AS n, (sum(round(value * 100)::BIGINT) OVER w)::DOUBLE / ((count(*) OVER w) * 100.0::DOUBLE) AS mean, max(value) OVER w AS largest FROM events
@@ -106,18 +109,20 @@ def running_mean_max(spark, d):
 
 @query("SELECT l_suppkey, list_sort(list(l_quantity))[count(*) // 2 + 1] AS upper_median FROM lineitem GROUP BY l_suppkey")
 def upper_median(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(A.upper_median("l_quantity").alias("upper_median"))
+    return ranks.values_at(table(spark, d, "lineitem"), ["l_suppkey"], "l_quantity", {"upper_median": (0.5, lambda n: F.floor(n / 2))}).select("l_suppkey", "upper_median")
 
 
 @query("""SELECT l_suppkey, l_extendedprice AS p99 FROM (SELECT l_suppkey, l_extendedprice, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice) - 1 AS i,
 count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem) WHERE i = least(n * 99 // 100, n - 1)""")
 def p99_trunc(spark, d):
-    return timing.nearest_rank(table(spark, d, "lineitem"), ["l_suppkey"], "l_extendedprice", F.least(F.floor(F.col("n") * 99 / 100), F.col("n") - 1)).withColumnRenamed("l_extendedprice", "p99")
+    return ranks.values_at(table(spark, d, "lineitem"), ["l_suppkey"], "l_extendedprice", {"p99": (0.99, lambda n: F.least(F.floor(n * 99 / 100), n - 1))}).select("l_suppkey", "p99")
 
 
 @query("SELECT l_returnflag, round(median(l_tax), 6) AS median_tax, min(l_tax) AS least, max(l_tax) AS largest, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY l_returnflag")
 def median_of_runs(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(r6(F.median("l_tax")).alias("median_tax"), F.min("l_tax").alias("least"), F.max("l_tax").alias("largest"), F.count_distinct("l_suppkey").alias("suppliers"))
+    x = table(spark, d, "lineitem").select("l_returnflag", "l_tax", "l_suppkey")
+    rest = x.groupBy("l_returnflag").agg(F.min("l_tax").alias("least"), F.max("l_tax").alias("largest"), F.count_distinct("l_suppkey").alias("suppliers"))
+    return rest.join(ranks.percentiles(x, ["l_returnflag"], "l_tax", {"median_tax": 0.5}).select("l_returnflag", r6("median_tax").alias("median_tax")), "l_returnflag")
 
 
 @query("""SELECT event_id, user_id, (us * 9 + 50) // 100 AS pts, coalesce((us * 9 + 50) // 100 - lag((us * 9 + 50) // 100) OVER (PARTITION BY user_id ORDER BY us, event_id), 3000) AS duration FROM (
@@ -359,7 +364,7 @@ SELECT l_returnflag, round(list_sort(list(e))[floor((count(*) - 1) * 0.99)::INT
 def worst_errors(spark, d):
     price = F.col("l_extendedprice")
     place = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long")
-    x = table(spark, d, "lineitem").groupBy("l_returnflag").agg(*timing.worst(F.round(price * F.col("l_discount") - price * F.col("l_tax"), 6), F.lit(0.0), place))
+    x = timing.worst(table(spark, d, "lineitem"), ["l_returnflag"], F.round(price * F.col("l_discount") - price * F.col("l_tax"), 6), place)
     return x.withColumn("p99", r6("p99"))
 
 
@@ -486,11 +491,15 @@ def pts_lookup(spark, d):
     return e.select("event_id", "user_id").join(e.where("event_type <> 'view'").select("event_id", F.col("value").alias("duration")), "event_id", "left")
 
 
-@query("SELECT user_id AS container, event_id AS seq, chr((65 + event_id % 26)::INT) AS payload FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events)")
+@query("""WITH n AS (SELECT user_id AS container, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq, event_id FROM events),
+kept AS (SELECT * FROM n WHERE NOT (container % 3 = 0 AND event_id % 11 = 0)), gap AS (SELECT container, min(seq) AS lost FROM n WHERE container % 3 = 0 AND event_id % 11 = 0 GROUP BY container)
+SELECT container, seq, chr((65 + event_id % 26)::INT) AS payload FROM kept LEFT JOIN gap USING (container) WHERE lost IS NULL OR seq < lost""")
 def resequencer(spark, d):
+    """Packets of every third container get lost now and then: only what comes before the first lost one is put out."""
     e = table(spark, d, "events")
     numbered = e.select(F.col("user_id").alias("container"), (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).cast("long").alias("seq"), "event_id", F.chr(65 + F.col("event_id") % 26).alias("payload"))
-    return resequenced_prefix(numbered).select("container", F.col("event_id").alias("seq"), "payload")
+    lossy = numbered.where("not (container % 3 = 0 and event_id % 11 = 0)").select("container", "seq", "payload")
+    return resequenced_prefix(lossy)
 
 
 # --- metadata and rules
@@ -511,13 +520,13 @@ def json_props(spark, d):
     return table(spark, d, "events").select("event_id", j["k"].alias("k"), F.coalesce(j["missing"], F.lit(-1)).alias("missing"))
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN [p, p, p, p] WHEN 1 THEN [p, q, q, p] ELSE [p, q, p + 1, q + 1] END[3] AS third, CASE o_orderkey % 3 WHEN 0 THEN p WHEN 1 THEN p ELSE q + 1 END AS fourth
+@query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN [p, p, p, p] WHEN 1 THEN [p, q, q, p] ELSE [p, q, p + 1, q + 1] END[3] AS third, CASE o_orderkey % 3 WHEN 0 THEN p WHEN 1 THEN p ELSE q + 1 END AS fourth, p AS first, CASE o_orderkey % 3 WHEN 0 THEN p ELSE q END AS second
 FROM (SELECT o_orderkey, o_totalprice AS p, o_totalprice * 2 AS q FROM orders)""")
 def level_broadcast(spark, d):
     p, q = F.col("o_totalprice"), F.col("o_totalprice") * 2
     levels = F.when(F.col("o_orderkey") % 3 == 0, F.array(p)).when(F.col("o_orderkey") % 3 == 1, F.array(p, q)).otherwise(F.array(p, q, p + 1, q + 1))
     x = table(spark, d, "orders").select("o_orderkey", T.broadcast_levels(levels).alias("v"))
-    return x.select("o_orderkey", F.col("v")[2].alias("third"), F.col("v")[3].alias("fourth"))
+    return x.select("o_orderkey", *(F.col("v")[i].alias(c) for i, c in enumerate(("first", "second", "third", "fourth"))))
 
 
 _NAMES = ("Standard A", "D-50", "d55", "D65 ", "standard_light_a", "D 75", "mystery")
