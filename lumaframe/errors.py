@@ -15,7 +15,7 @@ class EngineError(Exception):
 
 def _kind(code: str) -> type[EngineError]:
     name = "".join(x.title() for x in code.split("_"))
-    return type(name, (EngineError,), {"code": code})
+    return type(name, (EngineError, ValueError) if code.startswith("invalid_") else (EngineError,), {"code": code})
 
 
 InvalidArgument, InvalidContainer, InvalidMetadata, UnsupportedFormat, DecodeFailed, ProcessingFailed, EncodeFailed, IoFailed, DeviceLost = map(_kind, CODES)
