@@ -47,6 +47,18 @@ def calibrate(value: Column, black: Column, white: Column, scale: float = 1.0) -
     return ((value.cast("double") - black) / (white - black)).cast("float") * F.lit(scale).cast("float")
 
 
+def calibrate_single(value: Column, black: Column, white: Column, scale: float = 1.0) -> Column:
+    """calibrate() with every step in single precision."""
+    a, b, c = (x.cast("float") for x in (value, black, white))
+    return ((a - b) / (c - b)).cast("float") * F.lit(scale).cast("float")
+
+
+def status(x: Column) -> Column:
+    """Bits of what is wrong with a value: 1 if it is negative, 2 if it is not finite. bit_or() puts many together."""
+    wild = F.isnan(x) | (F.abs(x) == float("inf"))
+    return F.when(wild, 2).when(x < 0, 1).otherwise(0)
+
+
 def matrix3(matrix: Sequence[float], rgb: Sequence[Column], stops: float = 0.0, scale: float = 1.0) -> list[Column]:
     """float((M rgb) * 2 ** stops * scale) for each of three rows."""
     if not 0 < scale < float("inf"):

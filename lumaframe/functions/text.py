@@ -49,6 +49,10 @@ def codec_tag(profile: Column) -> Column:
     return found
 
 
+#: So many strings or fewer are hashed one by one.
+FEW = 8
+
+
 def fnv1a_numpy(values: list[bytes]) -> np.ndarray:
     """FNV-1a of many byte strings at once: step j takes byte j of all that are long enough."""
     order = np.argsort([-len(v) for v in values], kind="stable")
@@ -60,12 +64,28 @@ def fnv1a_numpy(values: list[bytes]) -> np.ndarray:
     for j in range(int(sizes[0]) if len(sizes) else 0):
         while live and sizes[live - 1] <= j:
             live -= 1
+        if live <= FEW:
+            # The last few, long ones, byte by byte: an array step for so few values costs more.
+            for k in range(live):
+                value = int(h[k])
+                for byte in flat[starts[k] + j : starts[k] + sizes[k]].astype(np.uint8).tobytes():
+                    value = (value ^ byte) * FNV_PRIME & 0xFFFFFFFFFFFFFFFF
+                h[k] = value
+            break
         h[:live] = (h[:live] ^ flat[starts[:live] + j]) * np.uint64(FNV_PRIME)
     out = np.empty_like(h)
     out[order] = h
     return out
 
 
+@F.pandas_udf(LongType())
+def plane_hash(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """FNV-1a of a plane's codes as little-endian 16-bit numbers, in their order; null gives null."""
+    for s in parts:
+        raw = [b"" if v is None else np.asarray(v).astype("<u2").tobytes() for v in s]
+        yield pd.Series(fnv1a_numpy(raw).view(np.int64), index=s.index).astype("Int64").mask(s.isna())
+
+
 @F.pandas_udf(LongType())
 def fnv1a(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """64-bit FNV-1a of a string's UTF-8 or a binary's bytes, as a bigint's bits; null gives null."""

@@ -20,3 +20,8 @@ def interleave(audio: DataFrame, video: DataFrame, keys: list[str]) -> DataFrame
     """All packets with seq, their place by (ts, audio before video, index)."""
     both = audio.select(*keys, "ts", F.lit(0).alias("kind"), F.col("chunk_index").alias("i")).unionByName(video.select(*keys, "ts", F.lit(1).alias("kind"), F.col("frame_index").alias("i")))
     return both.withColumn("seq", F.row_number().over(Window.partitionBy(*keys).orderBy("ts", "kind", "i")) - 1)
+
+
+def claim(packets: DataFrame, waiting: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """packets with what waits under their key (null if nothing does), and what is left waiting because no packet took it."""
+    return packets.join(waiting, key, "left"), waiting.join(packets.select(key), key, "left_anti")

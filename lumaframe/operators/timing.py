@@ -53,6 +53,21 @@ def worst(table: DataFrame, keys: list[str], error: Column, place: Column) -> Da
     return found.join(last, same).select(*keys, "p99", "worst_at")
 
 
+def high_water(events: DataFrame, keys: list[str], order: str, change: str, limit: int) -> DataFrame:
+    """keys, most (the largest running sum of the changes, 0 at least), waits (how often it is over the limit)."""
+    depth = F.sum(change).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    x = events.select(*keys, depth.alias("_depth"))
+    return x.groupBy(*keys).agg(F.greatest(F.max("_depth"), F.lit(0)).cast("long").alias("most"), F.count_if(F.col("_depth") > limit).alias("waits"))
+
+
+def paired(a: DataFrame, b: DataFrame, keys: list[str], value: str, same: str) -> DataFrame:
+    """keys, <value>_a, <value>_b of two reports; where their hashes `same` differ or one is missing, they can't be compared: an error."""
+    x = a.select(*keys, F.col(value).alias("_a"), F.col(same).alias("_x")).join(b.select(*keys, F.col(value).alias("_b"), F.col(same).alias("_y")), keys, "full_outer")
+    wrong = F.raise_error(F.lit("invalid_argument: reports of different inputs or configurations")).cast("double")
+    checked = lambda c: F.when(F.col("_x") == F.col("_y"), F.col(c).cast("double")).otherwise(wrong)
+    return x.select(*keys, checked("_a").alias(f"{value}_a"), checked("_b").alias(f"{value}_b"))
+
+
 def improvement(new: Column, old: Column, least: float) -> tuple[Column, Column]:
     """100 (new / old - 1) and whether it reaches the threshold."""
     gain = 100 * (new / old - 1)

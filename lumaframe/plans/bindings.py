@@ -25,15 +25,15 @@ SQL_PIXELS = "SELECT vec_id AS frame, label, (i // 8)::INT AS py, (i % 8)::INT A
 
 
 def planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """frame, r, g, b: embeddings 3k, 3k + 1, 3k + 2 as the planes of frame k; incomplete frames are left out."""
+    """frame, r, g, b: embeddings 3k, 3k + 1, 3k + 2 as the planes of frame k; a plane that isn't there is all zeros."""
     e = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 3).alias("frame"), (F.col("vec_id") % 3).alias("k"), F.col("embedding").cast("array<double>").alias("e"))
     found = e.groupBy("frame").agg(*(F.first(F.when(F.col("k") == k, F.col("e")), ignorenulls=True).alias(c) for k, c in enumerate("rgb")))
-    return found.where("r is not null and g is not null and b is not null")
+    return found.select("frame", *(F.coalesce(c, F.array_repeat(F.lit(0.0), WIDTH * HEIGHT)).alias(c) for c in "rgb"))
 
 
 SQL_PLANES = """pl AS (SELECT vec_id // 3 AS frame, vec_id % 3 AS k, embedding AS e FROM embeddings),
-rgb AS (SELECT a.frame, (i // 8)::INT AS py, (i % 8)::INT AS px, i, a.e[i + 1]::DOUBLE AS r, b.e[i + 1]::DOUBLE AS g, c.e[i + 1]::DOUBLE AS b
-  FROM pl a JOIN pl b ON b.frame = a.frame AND b.k = 1 JOIN pl c ON c.frame = a.frame AND c.k = 2, range(64) t(i) WHERE a.k = 0)"""
+rgb AS (SELECT a.frame, (i // 8)::INT AS py, (i % 8)::INT AS px, i, coalesce(x.e[i + 1]::DOUBLE, 0) AS r, coalesce(y.e[i + 1]::DOUBLE, 0) AS g, coalesce(z.e[i + 1]::DOUBLE, 0) AS b
+  FROM (SELECT DISTINCT frame FROM pl) a LEFT JOIN pl x ON x.frame = a.frame AND x.k = 0 LEFT JOIN pl y ON y.frame = a.frame AND y.k = 1 LEFT JOIN pl z ON z.frame = a.frame AND z.k = 2, range(64) t(i))"""
 
 
 def audio(spark: SparkSession, sf_dir: str) -> DataFrame:

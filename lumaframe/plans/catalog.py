@@ -433,6 +433,53 @@ def fnv1a_hash(spark, d):
     return table(spark, d, "documents").select("doc_id", T.fnv1a("text").alias("fnv"))
 
 
+@query(f"""SELECT frame, py, px, round((((u::FLOAT - {_CASES(_BLACK)}::FLOAT) / ({_CASES(_WHITE)}::FLOAT - {_CASES(_BLACK)}::FLOAT)) * 65535::FLOAT)::DOUBLE, 1) AS calibrated FROM (
+SELECT *, floor((v + 1) * 2000)::INT AS u, {_SITE} AS s FROM ({SQL_PIXELS}))""")
+def calibrate_single(spark, d):
+    """Calibration in single precision."""
+    at = P.site(F.col("px"), F.col("py")) + 1
+    black, white = (F.element_at(F.array(*map(F.lit, levels)), at) for levels in (_BLACK, _WHITE))
+    return pixels(spark, d).select("frame", "py", "px", F.round(P.calibrate_single(_u16(), black, white, 65535.0).cast("double"), 1).alias("calibrated"))
+
+
+@query(f"""SELECT frame, bit_or(CASE WHEN isnan(w) OR isinf(w) THEN 2 WHEN w < 0 THEN 1 ELSE 0 END)::INT AS flags FROM (
+SELECT frame, CASE WHEN frame % 7 = 0 AND px = 3 THEN 'nan'::DOUBLE WHEN frame % 11 = 0 AND py = 2 THEN 'inf'::DOUBLE WHEN frame % 2 = 0 THEN abs(v) ELSE v END AS w FROM ({SQL_PIXELS})) GROUP BY frame""")
+def status_flags(spark, d):
+    """Bits of what is wrong anywhere in a frame."""
+    v = F.when((F.col("frame") % 7 == 0) & (F.col("px") == 3), float("nan")).when((F.col("frame") % 11 == 0) & (F.col("py") == 2), float("inf")).when(F.col("frame") % 2 == 0, F.abs("v")).otherwise(F.col("v"))
+    return pixels(spark, d).groupBy("frame").agg(F.bit_or(P.status(v)).alias("flags"))
+
+
+@query("""SELECT vec_id, (CASE WHEN h >= 9223372036854775808 THEN h::HUGEINT - 18446744073709551616 ELSE h::HUGEINT END)::BIGINT AS hash FROM (
+SELECT vec_id, list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(flatten(list_transform(embedding, lambda x: [floor((x::DOUBLE + 1) * 2000)::INT & 255, floor((x::DOUBLE + 1) * 2000)::INT >> 8])), lambda x: x::UHUGEINT)),
+lambda h, x: (xor(h, x) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT) AS h FROM embeddings)""")
+def plane_hash(spark, d):
+    ship_code(spark)
+    codes = F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 2000).cast("int"))
+    return table(spark, d, "embeddings").select("vec_id", T.plane_hash(codes).alias("hash"))
+
+
+@query("""SELECT user_id, greatest(max(depth), 0)::BIGINT AS most, count(*) FILTER (depth > 3) AS waits FROM (
+SELECT user_id, sum(CASE event_type WHEN 'view' THEN 1 WHEN 'purchase' THEN -1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS depth FROM events) GROUP BY user_id""")
+def queue_high_water(spark, d):
+    """Views enter a user's queue, purchases leave it."""
+    change = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "purchase", -1).otherwise(0)
+    return timing.high_water(table(spark, d, "events").select("user_id", "event_id", change.alias("change")), ["user_id"], "event_id", "change", 3)
+
+
+@query("""SELECT o_orderpriority, round(avg(o_totalprice) FILTER (o_orderkey % 2 = 0), 6) AS price_a, round(avg(o_totalprice) FILTER (o_orderkey % 2 = 1), 6) AS price_b FROM orders GROUP BY o_orderpriority""")
+def paired_reports(spark, d):
+    x = table(spark, d, "orders").groupBy("o_orderpriority", (F.col("o_orderkey") % 2).alias("side")).agg(F.avg("o_totalprice").alias("price"), F.md5(F.first("o_orderpriority")).alias("hash"))
+    return timing.paired(x.where("side = 0"), x.where("side = 1"), ["o_orderpriority"], "price", "hash").select("o_orderpriority", r6("price_a").alias("price_a"), r6("price_b").alias("price_b"))
+
+
+@query("SELECT event_id, value AS duration FROM events WHERE event_type <> 'view' AND event_id % 3 = 0")
+def unclaimed_durations(spark, d):
+    """What still waits when all packets have taken theirs."""
+    e = table(spark, d, "events")
+    return merge.claim(e.where("event_id % 3 <> 0").select("event_id"), e.where("event_type <> 'view'").select("event_id", F.col("value").alias("duration")), "event_id")[1]
+
+
 # --- audio
 
 
@@ -657,11 +704,13 @@ def color_solution(spark, d):
 
 @query()
 def rcd_demosaic(spark, d):
-    """Sixteen embeddings, tiled 4 x 4, are a frame of 32 x 32."""
+    """Sixteen embeddings, tiled 4 x 4, are a frame of 32 x 32; a tile that isn't there is black."""
     ship_code(spark)
     e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 16).alias("frame"), (F.col("vec_id") % 16).alias("k"), "embedding")
-    whole = e.groupBy("frame").agg(F.sort_array(F.collect_list(F.struct("k", "embedding"))).alias("t"), F.count("*").alias("n")).where("n = 16")
-    tile = lambda i: F.element_at(F.col("t"), (F.floor(i / 256) * 4 + F.floor(i % 32 / 8) + 1).cast("int"))["embedding"]
+    whole = e.groupBy("frame").agg(F.sort_array(F.collect_list(F.struct("k", "embedding"))).alias("t"))
+    whole = whole.withColumn("t", F.map_from_entries("t"))
+    dark = F.array_repeat(F.lit(-1.0).cast("float"), WIDTH * HEIGHT)
+    tile = lambda i: F.coalesce(F.element_at(F.col("t"), (F.floor(i / 256) * 4 + F.floor(i % 32 / 8)).cast("long")), dark)
     mosaic = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: ((F.element_at(tile(i), (F.floor(i % 256 / 32) * 8 + i % 8 + 1).cast("int")) + 1) * 30000).cast("float"))
     frames = whole.select("frame", F.lit(32).alias("width"), F.lit(32).alias("height"), F.element_at(F.array(*map(F.lit, P.CFA)), (F.col("frame") % 4 + 1).cast("int")).alias("cfa"), mosaic.alias("mosaic"))
     mean = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, v: a + v) / F.size(c), 2)
