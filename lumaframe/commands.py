@@ -6,13 +6,19 @@ import dataclasses
 import json
 import time
 
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from lumaframe.config import PROFILES, Config
-from lumaframe.errors import InvalidArgument
+from lumaframe.errors import InvalidArgument, ProcessingFailed
 from lumaframe.operators import timing
 from lumaframe.plans import picture
+from lumaframe.session import ship_code
+from lumaframe.sources import files
 from lumaframe.sources.files import publish
 
 
@@ -70,6 +76,46 @@ def benchmark(run, repeats: int = 3) -> dict[str, float]:
     return {"least": took[0], "median": took[len(took) // 2], "most": took[-1]}
 
 
+def dump(frames: DataFrame, width: int, height: int, folder: str) -> DataFrame:
+    """A file for each frame in a shared folder; returns name, size. Planes r, g, b become PFM, codes y, cb, cr planar 16-bit numbers."""
+    ship_code(frames.sparkSession)
+    floats = {"r", "g", "b"} <= set(frames.columns)
+    names = ("r", "g", "b") if floats else ("y", "cb", "cr")
+
+    @F.pandas_udf(BinaryType())
+    def content(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        if floats:
+            return pd.Series([files.pfm_bytes(np.stack([np.asarray(p, np.float32).reshape(height, width) for p in planes], axis=2)) for planes in zip(a, b, c, strict=True)])
+        return pd.Series([files.planar_bytes(*map(np.asarray, planes)) for planes in zip(a, b, c, strict=True)])
+
+    name = F.concat(F.lit("frame-"), F.lpad(F.col("frame").cast("string"), 8, "0"), F.lit(".pfm" if floats else ".yuv"))
+    return files.write_files(frames.select(name.alias("name"), content(*names).alias("content")), folder)
+
+
+def sidecar(frames: DataFrame, config: Config, diagnostics: DataFrame | None = None, transfers: dict[str, int] | None = None) -> DataFrame:
+    """One row with a JSON report: configuration, summary of frames (timestamp_ns), sound diagnostics, transfers to and from a device.
+
+    Frames that stay on a device (resident: 1) can't have uploads or readbacks: that raises.
+    """
+    moved = transfers or {}
+    if moved.get("resident") and (moved.get("uploads") or moved.get("readbacks")):
+        raise ProcessingFailed("resident frames with uploads or readbacks")
+    video = inspect(frames.select("timestamp_ns"))
+    parts = {"configuration": F.parse_json(F.lit(json.dumps(dataclasses.asdict(config)))), "video": F.struct(*video.columns), "transfers": F.parse_json(F.lit(json.dumps(moved)))}
+    x = video
+    if diagnostics is not None:
+        streams = diagnostics.agg(F.sort_array(F.collect_list(F.struct(*diagnostics.columns))).alias("_audio"))  # one row a stream of one file
+        x = x.join(F.broadcast(streams))
+        parts["audio"] = F.col("_audio")
+    return x.select(files.report(**parts).alias("report"))
+
+
+def benchmark_rows(spark: SparkSession, name: str, runs: dict[str, float], frames: int, pixels: int) -> DataFrame:
+    """name, run, seconds, frames_per_second, mpixels_per_second, to be written as CSV."""
+    rows = [(name, run, s, frames / s if s > 0 else 0.0, frames * pixels / s / 1e6 if s > 0 else 0.0) for run, s in runs.items()]
+    return spark.createDataFrame(rows, "name string, run string, seconds double, frames_per_second double, mpixels_per_second double")
+
+
 def config_df(spark: SparkSession, config: Config) -> DataFrame:
     """key, value (JSON) of the effective configuration."""
     rows = [(k, json.dumps(v)) for k, v in dataclasses.asdict(config).items()]

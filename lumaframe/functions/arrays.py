@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lumaframe.errors import InvalidArgument
+
 
 def _or_raise(ok: Column, value: Column, message: str, kind: str) -> Column:
     return F.when(F.coalesce(ok, F.lit(False)), value).otherwise(F.raise_error(F.lit(message)).cast(kind))
@@ -52,3 +55,10 @@ def unpack16(words: Column) -> Column:
 def wrapping_sum(values: Column) -> Column:
     """Sum modulo 2 ** 64, as a decimal."""
     return F.pmod(F.sum(values.cast("decimal(20,0)")), F.lit(Decimal(2**64))).cast("decimal(20,0)")
+
+
+def whole_number(text: str) -> int:
+    """checked_number() of a word on the driver."""
+    if not re.fullmatch("[0-9]{1,18}", text):
+        raise InvalidArgument(f"not an unsigned number: {text}")
+    return int(text)

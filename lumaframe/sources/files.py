@@ -13,7 +13,7 @@ from urllib.parse import unquote, urlsplit
 import numpy as np
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -105,12 +105,17 @@ def read_sound(f: BinaryIO, length: int) -> Iterator[tuple[int, int, int, int, n
         raise InvalidContainer("a chunk has no time")
 
 
-def _opened(path: str) -> BinaryIO:
-    """A file of any file system that Spark and Arrow both know, for reading anywhere in it."""
+def _located(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, any that Spark and Arrow both know, and the place in it."""
     parts = urlsplit(path)
     if parts.scheme in ("", "file"):
-        return fs.LocalFileSystem().open_input_file(unquote(parts.path) if parts.scheme else path)
-    system, inside = fs.FileSystem.from_uri(path)
+        return fs.LocalFileSystem(), unquote(parts.path) if parts.scheme else path
+    return fs.FileSystem.from_uri(path)
+
+
+def _opened(path: str) -> BinaryIO:
+    """A file for reading anywhere in it."""
+    system, inside = _located(path)
     return system.open_input_file(inside)
 
 
@@ -215,10 +220,9 @@ class _Pixels(DataSourceReader):
 
     def read(self, partition: InputPartition):
         rows = min(64, self.height - partition.value)
-        with open(self.path, "rb") as f:
-            f.seek(0, 2)
-            if f.tell() != 2 * self.width * self.height:
-                raise ValueError("the file's size isn't width x height x 2")
+        with _opened(self.path) as f:
+            if f.size() != 2 * self.width * self.height:
+                raise InvalidArgument("the file's size isn't width x height x 2")
             f.seek(2 * self.width * partition.value)
             values = np.frombuffer(f.read(2 * self.width * rows), "<u2").reshape(rows, self.width)
         for y in range(rows):
@@ -250,17 +254,21 @@ def planar_bytes(y: np.ndarray, cb: np.ndarray, cr: np.ndarray) -> bytes:
 
 
 def write_files(df: DataFrame, folder: str) -> DataFrame:
-    """name, content -> a file each (written under a partial name, then renamed); returns name, size as written."""
+    """name, content -> a file each (written under a name of its own, then renamed); returns name, size as written.
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
+    folder is one that all executors share. A task that is repeated writes the same files again.
+    """
+    ship_code(df.sparkSession)
 
-        os.makedirs(folder, exist_ok=True)
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, inside = _located(folder)
+        system.create_dir(inside, recursive=True)
         for pdf in batches:
             for name, content in zip(pdf["name"], pdf["content"], strict=True):
-                with open(f"{folder}/{name}.partial", "wb") as out:
+                part = f"{inside}/.{name}.{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as out:
                     out.write(content)
-                os.replace(f"{folder}/{name}.partial", f"{folder}/{name}")
+                system.move(part, f"{inside}/{name}")
             yield pd.DataFrame({"name": pdf["name"], "size": pdf["content"].map(len)})
 
     return df.select("name", "content").mapInPandas(write, "name string, size long")
@@ -293,6 +301,6 @@ def publish(df: DataFrame, path: str, overwrite: bool = False, order: list[str]
     return after
 
 
-def report(**parts) -> object:
+def report(**parts: Column) -> Column:
     """One JSON column of nested values."""
     return F.to_json(F.struct(*(v.alias(k) for k, v in parts.items())))
